@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from scriptorium.llm import bpe, exact_dedup, mixing, quality, simhash
-from scriptorium.llm.common import documents, materialise
+from scriptorium.llm.common import documents
+from scriptorium.tables import materialise
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import dates, routing, scoring, text
 from .operators import aggregates, dedup, filters, graph, joins, manifest, requests, state, windows
 from .sources import markdown
+from .tables import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +33,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
+        ship(spark)
         self._read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
     def __getattr__(self, name: str) -> DataFrame:

@@ -1,9 +1,12 @@
-"""Tables in the folder that driver and executors share."""
+"""Tables in the folder that driver and executors share; this package on executors."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +14,10 @@ from pyspark.sql import functions as F
 #: Rows that may be broadcast at most; beyond it a join by shuffle is used.
 BROADCAST_ROWS = 1_000_000
 
+#: Rows of a batch that Python workers get; texts can be long.
+ARROW_ROWS = 1000
+
+_shipped: set[str] = set()
 _own_root: dict[str, str] = {}
 
 
@@ -36,3 +43,21 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
 def by_checked_size(small: DataFrame, rows: int) -> DataFrame:
     """A broadcast hint only where the counted rows are within the bound; else the join shuffles."""
     return F.broadcast(small) if rows <= BROADCAST_ROWS else small
+
+
+def ship(spark: SparkSession) -> None:
+    """Give executors this package, once for each application, and keep Arrow batches of whole texts small."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    top = Path(__file__).resolve().parent
+    if not top.is_dir():  # imported from an archive: executors have it already
+        return
+    to = os.path.join(tempfile.mkdtemp(prefix="scriptorium-ship-"), f"{top.name}.zip")
+    with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    spark.sparkContext.addPyFile(to)
