@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship
+from ..tables import ship
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Pieces, and pairs of tokens, whose results a worker keeps.

@@ -1,63 +1,10 @@
-"""What the operators share: tables in the shared folder, shipping of the package, safe dropping of rows."""
+"""What the operators share: reading of documents, folds."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Ids that may be broadcast at most; beyond it a join by shuffle is used. 1 M longs are 8 MB, 64 MB as a hash table.
-BROADCAST_IDS = 1_000_000
-
-#: Rows of a batch that Python workers get; texts can be long.
-ARROW_ROWS = 1000
-
-_shipped: set[str] = set()
-_own_root: dict[str, str] = {}
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if path:
-        return path.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_root:
-        _own_root[app] = "file://" + tempfile.mkdtemp(prefix="scriptorium-")
-    return _own_root[app]
-
-
-def ship(spark: SparkSession) -> None:
-    """Give executors this package, once for each application, and keep Arrow batches of whole texts small."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    _shipped.add(app)
-    top = Path(__file__).resolve().parents[1]
-    if not top.is_dir():  # imported from an archive: executors have it already
-        return
-    to = os.path.join(tempfile.mkdtemp(prefix="scriptorium-ship-"), f"{top.name}.zip")
-    with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, p.relative_to(top.parent))
-    spark.sparkContext.addPyFile(to)
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/scriptorium-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -69,8 +16,3 @@ def text_or_empty(col: str = "text") -> Column:
 def crc_mod(col: str, n: int) -> Column:
     """crc32 of an id written as text, modulo n; a null id counts as the empty string."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % n
-
-
-def by_checked_size(small: DataFrame, rows: int) -> DataFrame:
-    """A broadcast hint only where the counted rows are within the bound; else the join shuffles."""
-    return F.broadcast(small) if rows <= BROADCAST_IDS else small

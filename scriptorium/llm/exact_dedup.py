@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_checked_size, materialise, ship, text_or_empty
+from ..tables import by_checked_size, materialise, ship
+from .common import text_or_empty
 
 BITS_PER_KEY = 16
 HASHES = 3

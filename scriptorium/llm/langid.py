@@ -23,7 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, ship
+from ..tables import ship
+from .common import crc_mod
 
 GRAMS = (1, 2, 3)
 BUCKETS = 1 << 16

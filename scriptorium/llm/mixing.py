@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, ship
+from ..tables import materialise, ship
 
 BLOCK_DOCS = 16
 CYCLE = 1000

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, ship
+from ..tables import materialise, ship
 
 TOP = 5
 QUERY_STEP = 50

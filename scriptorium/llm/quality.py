@@ -23,7 +23,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, ship, text_or_empty
+from ..tables import ship
+from .common import crc_mod, text_or_empty
 
 #: Labelled rows of each class that train a dictionary, and as many again that fit the curve, at most.
 SAMPLE_ROWS = 1500

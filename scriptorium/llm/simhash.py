@@ -25,8 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_checked_size, materialise, ship
-from .components import components
+from ..operators.graph import components
+from ..tables import by_checked_size, materialise, ship
 
 SHINGLE_WORDS = 3
 SEED = 42

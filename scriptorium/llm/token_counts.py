@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from ..tables import ship
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
