@@ -151,8 +151,11 @@ def messages(part: Stretch) -> Iterator[bytes]:
         f.seek(at)
         if part.start:
             at += len(f.readline())  # to the first line that begins in the stretch
+        f.seek(max(0, at - 3))
+        before = f.read(min(3, at))
+        f.seek(at)
         held: list[bytes] = []
-        blank = True
+        blank = at == 0 or before.endswith((b"\n\n", b"\n\r\n"))
         for line in f:
             if line.startswith(b"From ") and blank:
                 if held:
