@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import ahocorasick
@@ -30,8 +30,8 @@ from pyspark.sql import types as T
 from ..tables import ship
 
 RANKS = "byte_bpe_50k.tiktoken"
-#: Pieces, and pairs of tokens, whose results a worker keeps.
-CACHE = 400_000
+#: Words, pieces and pairs of tokens whose results a worker keeps; together some 150 MB.
+WORDS, PIECES, PAIRS = 300_000, 300_000, 250_000
 #: Bytes of a piece that is kept, at most.
 SHORT = 64
 #: The rank of a merge that doesn't exist.
@@ -122,7 +122,7 @@ class Vocabulary:
         known = self.pairs.get(key)
         if known is None:
             known = self.adjacent(self.bytes_of[before], self.bytes_of[token])
-            if len(self.pairs) >= CACHE:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             self.pairs[key] = known
         return known
@@ -204,10 +204,10 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.v = vocabulary
         self.pieces = regex.compile(pattern).findall
-        self.words: dict[str, list[int]] = {}
-        self.known: dict[str, list[int]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
 
-    def piece(self, text: str) -> list[int]:
+    def piece(self, text: str) -> Sequence[int]:
         """The ids of one match of the pattern."""
         ids = self.known.get(text)
         if ids is None:
@@ -220,9 +220,9 @@ class Encoder:
                 self.v.extend(data, last)
                 ids = self.v.follow(last)
             if len(data) <= SHORT:
-                if len(self.known) >= CACHE:
+                if len(self.known) >= PIECES:
                     self.known.clear()
-                self.known[text] = ids
+                self.known[text] = tuple(ids)
         return ids
 
     def matches(self, text: str) -> list[int]:
@@ -241,9 +241,9 @@ class Encoder:
                     return self.matches(text)
                 ids = self.matches(" " + w)
                 if len(w) <= SHORT:
-                    if len(words) >= CACHE:
+                    if len(words) >= WORDS:
                         words.clear()
-                    words[w] = ids
+                    words[w] = ids = tuple(ids)
             extend(ids)
         return out
 
