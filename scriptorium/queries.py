@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import dates, routing, scoring, text
-from .operators import aggregates, dedup, filters, graph, joins, manifest, requests, state, windows
+from .operators import aggregates, dedup, filters, graph, inventory, joins, manifest, requests, state, windows
+from .plans import builders
 from .sources import markdown
 from .tables import ship
 
@@ -661,3 +662,67 @@ SELECT array_to_string(list_slice(parts, 1, i), '/') AS dir, count(*) FILTER (pa
 def tree_counts(spark, sf_dir):
     path = F.concat(F.regexp_replace("url", "^https?://", ""), F.when(F.col("page_id") % 3 == 0, ".py").otherwise(".pdf"))
     return aggregates.tree_counts(Tables(spark, sf_dir).pages.select(path.alias("path")), ["pdf"], ["py"], ["png"])
+
+
+# Plans and inventory
+
+
+@query("""SELECT CASE WHEN k THEN 'skip' ELSE 'copy' END AS action, src, CASE WHEN NOT k THEN CASE WHEN n = 1 THEN 'promoted/' || name ELSE 'promoted/' || name || ' (' || n || ')' END END AS dst FROM (
+SELECT *, row_number() OVER (PARTITION BY k, name ORDER BY src) AS n FROM (SELECT min('a' || doc_id || '/' || source || '.pdf') AS src, regexp_extract(min('a' || doc_id || '/' || source || '.pdf'), '([^/]+)$', 1) AS name, bool_or(text IN (SELECT text FROM documents WHERE doc_id % 2 = 1)) AS k FROM documents WHERE doc_id % 2 = 0 GROUP BY text))""")
+def promote_plan(spark, sf_dir):
+    d = Tables(spark, sf_dir).documents.select("doc_id", F.concat(F.lit("a"), F.col("doc_id").cast("string"), F.lit("/"), "source", F.lit(".pdf")).alias("path"), F.sha2("text", 256).alias("hash"))
+    return builders.promote(d.where("doc_id % 2 = 0").select("path", "hash"), d.select("path", "hash"), "promoted").select("action", "src", "dst")
+
+
+@query("SELECT count(*) - count(DISTINCT text) AS n, CAST(sum(n_chars) - (SELECT sum(n_chars) FROM (SELECT DISTINCT n_chars, text FROM documents)) AS BIGINT) AS bytes FROM documents")
+def dedup_freed(spark, sf_dir):
+    d = Tables(spark, sf_dir).documents.select(F.col("doc_id").alias("path"), F.col("n_chars").alias("size"), "text")
+    return builders.freed(builders.deduplicate(dedup.duplicates(d, F.sha2("text", 256))))
+
+
+@query("SELECT 'd' || p_brand || '/' || p_partkey AS src, CAST(p_size AS BIGINT) AS freed FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity < 3)")
+def orphan_plan(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    files = t.part.select(F.concat(F.lit("d"), "p_brand").alias("dir"), F.col("p_partkey").cast("string").alias("name"), F.col("p_size").cast("long").alias("size"))
+    refs = t.lineitem.where("l_quantity < 3").join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.concat(F.lit("d"), "p_brand").alias("dir"), F.col("l_partkey").cast("string").alias("name"))
+    return builders.clean_orphans(files, refs).select("src", "freed")
+
+
+@query("SELECT CASE WHEN c_custkey % 3 = 0 THEN 'copy' ELSE 'skip' END AS action, CASE WHEN c_custkey % 3 = 0 THEN 'central/' || c_custkey END AS src, 'd/' || c_custkey AS dst FROM customer WHERE c_custkey % 2 = 0")
+def repair_plan(spark, sf_dir):
+    c = Tables(spark, sf_dir).customer.select("c_custkey", F.col("c_custkey").cast("string").alias("name"))
+    path = lambda d, w: c.where(w).select(F.concat(F.lit(d), "name").alias("path"))
+    files = path("d/", "c_custkey % 2 = 1").unionByName(path("central/", "c_custkey % 3 = 0")).unionByName(path("zz/", "c_custkey % 6 = 0"))
+    return builders.repair(c.select(F.lit("d").alias("dir"), "name"), files, "central").select("action", "src", "dst")
+
+
+@query("SELECT p_partkey AS src, CASE WHEN n = 1 THEN t ELSE t || ' (' || n || ')' END AS dst FROM (SELECT p_partkey, t, row_number() OVER (PARTITION BY t ORDER BY p_partkey) AS n FROM (SELECT p_partkey, 'archive/1998-08-02/' || p_type || '/' || p_brand AS t FROM part))")
+def archive_plan(spark, sf_dir):
+    p = Tables(spark, sf_dir).part
+    rows = p.select(F.concat(F.format_string("%010d", "p_partkey"), F.lit("/"), "p_brand").alias("path"), F.col("p_type").alias("category"))
+    return builders.archive(rows, "archive", AS_OF).select(F.substring_index("src", "/", 1).cast("long").alias("src"), "dst")
+
+
+@query("SELECT event_type AS folder, event_type <> 'view' AS indexed, CASE WHEN event_type <> 'view' THEN count(*) FILTER (ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-15') ELSE 0 END AS in_range, CASE WHEN event_type <> 'view' THEN count(*) ELSE 0 END AS total FROM events GROUP BY 1")
+def folder_index_counts(spark, sf_dir):
+    e = Tables(spark, sf_dir).events.select(F.col("event_type").alias("folder"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"))
+    return inventory.folder_index_counts(e.where("folder <> 'view'"), e, "2024-01-01", "2024-01-15")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'updated' ELSE 'unchanged' END AS state FROM documents WHERE n_chars >= 1024 AND lang <> 'es'")
+def statted(spark, sf_dir):
+    d = Tables(spark, sf_dir).documents.select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("."), F.coalesce("lang", F.lit("es"))).alias("path"), F.col("n_chars").alias("size"), F.lit(1).alias("mtime"))
+    known = d.select("path", F.when(F.col("doc_id") % 3 == 0, 0).otherwise(F.col("size")).alias("size"), "mtime")
+    return inventory.statted(d, known, [".en", ".fr", ".de"]).select("doc_id", "state")
+
+
+@query("SELECT entity_type, entity_slug, source, count(*) AS n FROM (SELECT lang AS entity_type, source AS entity_slug, CASE WHEN doc_id % 2 = 0 THEN 'Notes' ELSE 'Mail' END AS source FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL) GROUP BY ALL")
+def entity_counts(spark, sf_dir):
+    path = F.concat_ws("/", F.lit("k/Summaries"), F.when(F.col("doc_id") % 2 == 0, "Notes").otherwise("Mail"), "lang", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".md")))
+    return inventory.entity_counts(Tables(spark, sf_dir).documents.select(path.alias("path")), "Summaries")
+
+
+@query("SELECT lang AS file_type, count(*) FILTER (doc_id % 4 = 0) AS added, count(*) FILTER (doc_id % 4 = 1) AS removed, count(*) FILTER (doc_id % 4 = 2) AS changed FROM documents GROUP BY 1")
+def reindex_counts(spark, sf_dir):
+    d = Tables(spark, sf_dir).documents.select("doc_id", F.col("doc_id").alias("path"), F.col("lang").alias("file_type"), F.lit("h").alias("hash"))
+    return inventory.reindex_counts(d.where("doc_id % 4 <> 0"), d.where("doc_id % 4 <> 1").withColumn("hash", F.when(F.col("doc_id") % 4 == 2, "k").otherwise("h")))

@@ -5,6 +5,8 @@
 
 Files are split at message boundaries ("\\nFrom ") by bytes, so a large archive is read by many tasks. A stretch belongs
 to the partition in which its first byte lies. An index beside the file (<name>.imap, JSON) may give offsets instead.
+Options since and until (ISO days, UTC) bound the dates; undated messages go when a bound is given. With an index in
+order of time only the stretch within the bounds is read, found by reading a few headers.
 """
 
 from __future__ import annotations
@@ -129,6 +131,36 @@ def read_index(path: str) -> list[tuple[int, int]] | None:
     return [(int(e["offset"]), int(e["length"])) for e in data]
 
 
+def peek_date(f, offset: int, most: int = 1 << 14) -> datetime | None:
+    """A message's date from its first bytes: Date, else the envelope line, else Received."""
+    f.seek(offset)
+    data = f.read(most)
+    envelope, _, rest = data.partition(b"\n") if data.startswith(b"From ") else (b"", b"", data)
+    m = email.message_from_bytes(rest.partition(b"\n\n")[0] + b"\n\n", policy=email.policy.compat32)
+    tries = [m.get("Date"), envelope.decode("latin-1")[5:].partition(" ")[2], *(r.rpartition(";")[2] for r in m.get_all("Received", []))]
+    return next((d for d in map(parse_date, tries) if d), None)
+
+
+def first_from(f, entries: list[tuple[int, int]], at: datetime) -> int:
+    """The first entry of an index in order of time that isn't before `at`; undated ones count as before."""
+    low, high = 0, len(entries)
+    while low < high:
+        middle = (low + high) // 2
+        date = peek_date(f, entries[middle][0])
+        if date is None or date < at:
+            low = middle + 1
+        else:
+            high = middle
+    return low
+
+
+def mail_files(account: str, folders: str | None = None) -> list[str]:
+    """Archives below an account's folder, optionally of some folders (by name, comma-separated), each once, sorted."""
+    wanted = {x.strip().lower() for x in folders.split(",")} if folders else None
+    found = {p for pattern in ("**/*.mbox", "**/mbox") for p in glob.glob(os.path.join(account, pattern), recursive=True) if os.path.isfile(p)}
+    return sorted(p for p in found if wanted is None or folder_of(p).lower() in wanted)
+
+
 def folder_of(path: str) -> str:
     name = os.path.basename(path)
     return os.path.basename(os.path.dirname(path)).removesuffix(".mbox") if name == "mbox" else name.removesuffix(".mbox")
@@ -178,12 +210,17 @@ class MboxReader(DataSourceReader):
     def __init__(self, options: dict):
         self.paths = sorted({p for x in options["path"].split(",") for p in glob.glob(x.removeprefix("file:").replace("//", "/"), recursive=True) if os.path.isfile(p)})
         self.split = int(options.get("splitBytes", SPLIT_BYTES))
+        day = lambda k: datetime.fromisoformat(options[k]).replace(tzinfo=UTC) if options.get(k) else None
+        self.since, self.until = day("since"), day("until")
 
     def partitions(self) -> list[Stretch]:
         out: list[Stretch] = []
         for p in self.paths:
             entries = read_index(p + ".imap")
             if entries is not None:
+                with open(p, "rb") as f:  # only the stretch of the index that the bounds leave
+                    stop = first_from(f, entries, self.until) if self.until else len(entries)
+                    entries = entries[first_from(f, entries, self.since) if self.since else 0 : stop]
                 out += [Stretch(p, 0, 0, entries[i : i + 10_000]) for i in range(0, len(entries), 10_000)]
             else:
                 size = os.path.getsize(p)
@@ -192,8 +229,12 @@ class MboxReader(DataSourceReader):
 
     def read(self, partition: Stretch) -> Iterator[tuple]:
         folder = folder_of(partition.path)
+        bounded = self.since is not None or self.until is not None
         for data in messages(partition):
-            yield parse(data, folder)
+            row = parse(data, folder)
+            at = row[8]
+            if not bounded or at is not None and (self.since is None or at >= self.since) and (self.until is None or at < self.until):
+                yield row
 
 
 class MboxSource(DataSource):

@@ -4,7 +4,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from scriptorium.operators import aggregates, dedup, filters, graph, joins, manifest, requests, state, windows
+from scriptorium.functions import scoring
+from scriptorium.operators import aggregates, dedup, filters, graph, inventory, joins, manifest, requests, state, windows
+from scriptorium.plans import builders
 
 
 def rows(df):
@@ -184,3 +186,61 @@ def test_ingest(spark):
     got = {r.custom_id: (r.source, r.error) for r in requests.ingest(res, req).collect()}
     assert got == {"1": ("own", None), "2": (None, "no_content"), "3": ("asked", None), "4": (None, "no_source")}
     assert spark.createDataFrame([('[{"type":"text","text":"a"},{"type":"tool"},{"type":"text","text":"b"}]',), ("plain",)], "c string").select(requests.block_text(F.col("c"))).collect()[0][0] == "ab"
+
+
+def test_extract_plan(spark):
+    schema = "message_id string, from_addr string, to string, cc string, subject string, date timestamp, body string, is_html_only boolean, folder string, msg_hash string, headers map<string,string>, attachments array<struct<filename:string,size:bigint>>"
+    row = lambda i, body="x" * 60, folder="Work", day=1: (i, "ann@x.org", "me", "", "Hello", __import__("datetime").datetime(2024, 1, day), body, False, folder, "abc", {}, [])
+    mail = spark.createDataFrame([row("<1>"), row("<2>"), row("<3>", ""), row("<4>", folder="SPAM"), row("<5>", day=9)], schema)
+    known = spark.createDataFrame([(" <2> ",)], "message_id string")
+    plan = builders.extract(mail, scoring.Rules(), known, spark.createDataFrame([("out/Work/2024-01-09 hello abc.md",)], "path string"), "out")
+    got = {r.src: (r.action, r.reason, r.dst) for r in plan.collect()}
+    assert got["<1>"] == ("write", None, "out/Work/2024-01-01 hello abc.md")
+    assert got["<2>"][:2] == ("skip", "known_id") and got["<4>"][:2] == ("skip", "ignored_folder") and got["<5>"][:2] == ("skip", "target_exists")
+    assert got["<3>"][1].startswith("score -1: near_empty")
+    content = plan.where("src = '<1>'").first().content
+    assert content.startswith("---\ntype: mail\ncreated: ") and 'message-id: "<1>"' in content and content.endswith("x\n")
+    assert {(r.action, r.reason): r.n for r in builders.counts(plan).collect()}[("skip", "score")] == 1
+
+
+def test_register_and_summaries(spark):
+    res = spark.createDataFrame([("entity", "person/ann", None, "<!-- PROFILE -->a<!-- TIMELINE -->b"), ("entity", "person/bob", None, "none"), ("moc", None, "law", "```\nm\n```"), ("odd", None, "x", "y")], "kind string, entity string, name string, content string")
+    got = sorted((r.action, r.dst or "", r.reason or "", r.content or "") for r in builders.register(res, "k").collect())
+    assert got == [("skip", "", "missing_marker", ""), ("skip", "", "unknown_kind", "y"), ("write", "k/person/ann/profile.md", "", "a"), ("write", "k/person/ann/timeline.md", "", "b"), ("write", "k/topics/law.md", "", "m")]
+    ing = spark.createDataFrame([("1", "---\nsource: T/a.md\ncreated: wrong\ntitle: t\n---\nbody", "T/a.md", None), ("2", "x", "Z/b.md", None), ("3", "x", "T/none.md", None), ("4", None, None, "no_content")], "custom_id string, markdown string, source string, error string")
+    out = {r.src: (r.action, r.dst, r.reason, r.content) for r in builders.summaries(ing, spark.createDataFrame([("T/a.md", "2024-01-01", None)], "path string, created string, modified string"), "T", "S").collect()}
+    assert out["T/a.md"] == ("write", "S/a.md", None, "---\nsource: T/a.md\ncreated: 2024-01-01\nmodified: \ntitle: t\n---\n\nbody")
+    assert out["Z/b.md"][2] == "outside_root" and out["T/none.md"][2] == "no_transcription" and out[None][2] == "no_content"
+
+
+def test_directories(spark):
+    paths = ["docs/a.pdf", "docs/b.pdf", "repo/pyproject.toml", "repo/src/deep/x.py", "photos/IMG_1.png", *(f"photos/IMG_{i}.png" for i in range(2, 14)), "empty/readme"]
+    got = {r.dir: (r.category, r.confidence) for r in inventory.classified_directories(spark.createDataFrame([(p,) for p in paths], "path string"), 3, ["pdf"], ["py"], ["png"], ["pyproject.toml"]).collect()}
+    assert got == {"docs": ("documents", "high"), "repo": ("code", "high"), "photos": ("photos", "high"), "empty": ("other", "low")}
+
+
+def test_reindex(spark):
+    fm = "---\nsource: s.pdf\nsource_hash: sha256:abc\nsource_size: 5\nsource_mtime: 1.5\nmessage-id: <1>\n---\nx"
+    files = spark.createDataFrame([("a.md", 5, 1.5, fm), ("b.md", 6, 1.5, fm), ("c.md", 7, 1.5, "x"), ("_d.md", 1, 1.0, "x")], "path string, size long, mtime double, text string")
+    known = spark.createDataFrame([("b.md", 6, 1.5, "kept"), ("c.md", 9, 1.5, "old")], "path string, size long, mtime double, hash string")
+    got = {r.path: (r.hash, r.source_path, r.message_id) for r in inventory.reindexed(files, F.col("text"), F.lit("transcription"), known).collect()}
+    assert got == {"a.md": ("abc", "s.pdf", "<1>"), "b.md": ("kept", "s.pdf", "<1>"), "c.md": (None, None, None)}
+
+
+def test_scope_lists():
+    cfg = {"included": ["a"], "excluded": ["b", "e\u0301"]}
+    assert builders.scope_lists(cfg, include="a", exclude="\u00e9") == {"included": ["a"], "excluded": ["b", "e\u0301"]}
+    assert builders.scope_lists(cfg, include="c", moved=["\u00e9"]) == {"included": ["a", "c"], "excluded": ["b"]}
+
+
+def test_relinked(spark):
+    plan = builders.deduplicate(spark.createDataFrame([("x/b.png", "x/a.png", 5), ("x/a.png", "x/a.png", 5)], "path string, keep string, size long"))
+    docs = spark.createDataFrame([("d.md", "b.png"), ("e.md", "c.png")], "path string, name string")
+    assert rows(builders.relinked(docs, plan)) == [("d.md", "b.png", "a.png")]
+    assert rows(builders.freed(plan)) == [(1, 5)]
+
+
+def test_synthesis_kinds(spark):
+    df = spark.createDataFrame([("S/person/ann/profile.md",), ("S/reports/digests/2024-01-01.md",), ("S/reports/digests/2024-02-01.md",), ("S/index.md",), ("S/other.txt",)], "path string")
+    assert [(r.kind, r.nth) for r in inventory.latest_digests(df).orderBy("kind", "nth").collect()] == [("digest", 1), ("digest", 2), ("index", 1), ("profile", 1)]
+    assert inventory.latest_digests(df).where("kind = 'digest' AND nth = 1").first().path.endswith("2024-02-01.md")

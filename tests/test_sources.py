@@ -63,6 +63,23 @@ def test_mbox_index(tmp_path):
     assert mbox.read_index(str(tmp_path / "none")) is None
 
 
+def test_mbox_bounds(spark, tmp_path):
+    box = tmp_path / "Old.mbox"
+    box.write_bytes(MAIL)
+    spark.dataSource.register(mbox.MboxSource)
+    load = lambda **options: [r.from_addr for r in spark.read.format("mbox").options(**options).load(str(box)).orderBy("from_addr").collect()]
+    assert load(since="2024-01-02") == ["eve@z.org"]  # the undated message goes with a bound
+    starts = [i for i in range(len(MAIL)) if MAIL.startswith(b"From ", i) and (i == 0 or MAIL[i - 2 : i] == b"\n\n")]
+    (tmp_path / "Old.mbox.imap").write_text(json.dumps([{"offset": a, "length": b - a} for a, b in zip(starts, [*starts[1:], len(MAIL)], strict=True)]))
+    assert load() == ["ann@x.org", "bob@y.org", "eve@z.org"]
+    assert load(since="2024-01-02") == ["eve@z.org"] and load(until="2024-01-02") == ["ann@x.org"]
+    with box.open("rb") as f:
+        entries = mbox.read_index(f"{box}.imap")
+        assert [mbox.peek_date(f, o).day for o, _ in entries] == [1, 2, 3]
+        assert mbox.first_from(f, entries, mbox.parse_date("Wed, 3 Jan 2024 00:00:00 +0000")) == 2
+    assert mbox.mail_files(str(tmp_path), "old") == [str(box)] and mbox.mail_files(str(tmp_path), "new") == []
+
+
 def test_tables():
     md = "| a | b |\n| --- | --- |\n| 1 | 2 |\n\n| lone | row |\n\ntext\n| x |\n| y |"
     found = markdown.tables(md)
