@@ -1,6 +1,6 @@
 """Quality classifier: zstandard dictionaries of good and of bad text, their compressed-size difference as a calibrated score.
 
-A text is compressed twice, with a dictionary trained on good and with one trained on bad labelled text. The
+A text is compressed twice, in blocks, with a dictionary trained on good and with one trained on bad labelled text. The
 difference of the two sizes, normalised by the text's length and by the smaller size, says which corpus it is nearer
 to. A logistic curve fitted on labelled rows that neither dictionary saw turns this into a probability.
 
@@ -14,6 +14,7 @@ that disagree for one document are all used. Extra columns are ignored by score(
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,6 +33,8 @@ SAMPLE_ROWS = 1500
 SAMPLE_CHARS = 4096
 DICT_BYTES = 112_640
 LEVEL = 3
+#: Bytes compressed at a time.
+BLOCK = 2048
 THRESHOLD = 0.7
 
 
@@ -51,9 +54,9 @@ class Model:
 
 
 def _sizer(good: bytes, bad: bytes):
-    """Compressed sizes of bytes by either dictionary."""
+    """Compressed sizes of bytes by either dictionary, block by block: a long text must not become its own dictionary."""
     packers = [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False) for d in (good, bad)]
-    return lambda data: tuple(len(p.compress(data)) for p in packers)
+    return lambda data: tuple(sum(len(p.compress(data[at : at + BLOCK])) for at in range(0, len(data), BLOCK)) for p in packers)
 
 
 def _features(good: int, bad: int, n: int) -> np.ndarray:
@@ -97,13 +100,20 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     half = np.zeros(len(y), bool)
     for q in (0, 1):
         half[np.flatnonzero(y == q)[::2]] = True
-    dicts = [_dictionary([d for d, h, k in zip(data, half, y, strict=True) if h and k == q]) for q in (1, 0)]
+    dicts = _dictionaries([d for d, h in zip(data, half, strict=True) if h], y[half])
     sizes = _sizer(*dicts)
     rest = np.flatnonzero(~half) if len(set(y[~half])) == 2 else np.arange(len(y))
     x = np.array([_features(*sizes(data[i]), len(data[i])) for i in rest])
     return Model(*dicts, tuple(_fit(x, y[rest])))
 
 
+def _dictionaries(data: list[bytes], y: np.ndarray) -> list[bytes]:
+    """Of good and of bad samples. Lines that several samples hold are boilerplate, not a sign of either, and are left out."""
+    often = Counter(line for d in data for line in set(d.split(b"\n")))
+    own = [b"\n".join(line for line in d.split(b"\n") if often[line] == 1) for d in data]
+    return [_dictionary([d for d, k in zip(own, y, strict=True) if k == q and d]) for q in (1, 0)]
+
+
 def _dictionary(samples: list[bytes]) -> bytes:
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples, level=LEVEL).as_bytes()
