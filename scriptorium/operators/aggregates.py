@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 def usage_summary(usage: DataFrame, dimensions: Sequence[str], sums: Mapping[str, Column]) -> DataFrame:
     """One pass over grouping sets: the total and each dimension alone. `dimension` says which; `value` is null for the total."""
-    sets = ", ".join(["()", *(f"({d})" for d in dimensions)])
-    view = usage.select(*dimensions, *(c.alias(n) for n, c in sums.items()))
-    aggregates = ", ".join(f"sum({n}) AS {n}" for n in sums)
-    view.createOrReplaceTempView("__usage")
-    level = "CASE " + " ".join(f"WHEN grouping({d}) = 0 THEN '{d}'" for d in dimensions) + " ELSE 'total' END"
-    out = view.sparkSession.sql(f"SELECT {level} AS dimension, coalesce({', '.join(f'CASE WHEN grouping({d}) = 0 THEN cast({d} AS string) END' for d in dimensions)}) AS value, count(*) AS n, {aggregates} FROM __usage GROUP BY GROUPING SETS ({sets})")
-    view.sparkSession.catalog.dropTempView("__usage")
-    return out
+    rows = usage.select(*dimensions, *(c.alias(n) for n, c in sums.items()))
+    groups = rows.groupingSets([[], *([F.col(d)] for d in dimensions)], *dimensions)
+    out = groups.agg(*(F.grouping(d).alias(f"__{d}") for d in dimensions), F.count("*").alias("n"), *(F.sum(n).alias(n) for n in sums))
+    level, value = F.lit("total"), F.lit(None).cast("string")
+    for d in dimensions:
+        level = F.when(F.col(f"__{d}") == 0, d).otherwise(level)
+        value = F.when(F.col(f"__{d}") == 0, F.col(d).cast("string")).otherwise(value)
+    return out.select(level.alias("dimension"), value.alias("value"), "n", *sums)
 
 
 def hit_rate(read: Column, input_tokens: Column, write: Column) -> Column:
