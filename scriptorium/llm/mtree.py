@@ -143,7 +143,7 @@ def top_k(vectors: DataFrame, k: int = TOP, query_step: int = QUERY_STEP, block_
     square = "aggregate(v, 0D, (a, x) -> a + cast(x AS double) * x)"
     facts = table.groupBy("dim").agg(F.count("*").alias("n"), F.max(F.expr(square)).alias("reach2"), F.sum((F.col("vec_id") % query_step == 0).cast("long")).alias("asked"))
     facts = facts.select(F.col("dim").alias("d"), "reach2", F.ceil(F.col("n") / block_rows).alias("blocks"), F.greatest(F.lit(1), F.ceil(F.col("asked") / query_group)).alias("groups"))
-    facts = F.broadcast(materialise(facts, "facts"))  # a row for each length of vector
+    facts = materialise(facts, "facts")  # a row for each length of vector
     rows = table.join(facts, F.col("dim") == F.col("d")).drop("d")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit("block")), F.col("blocks")))
 
