@@ -19,6 +19,7 @@ ARROW_ROWS = 1000
 
 _shipped: set[str] = set()
 _own_root: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -36,10 +37,21 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/scriptorium-{tag}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> int:
+    """Delete the tables that this application materialised. Only once what reads them has been stored."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+    return len(paths)
+
+
 def by_checked_size(small: DataFrame, rows: int) -> DataFrame:
     """A broadcast hint only where the counted rows are within the bound; else the join shuffles."""
     return F.broadcast(small) if rows <= BROADCAST_ROWS else small

@@ -244,3 +244,11 @@ def test_synthesis_kinds(spark):
     df = spark.createDataFrame([("S/person/ann/profile.md",), ("S/reports/digests/2024-01-01.md",), ("S/reports/digests/2024-02-01.md",), ("S/index.md",), ("S/other.txt",)], "path string")
     assert [(r.kind, r.nth) for r in inventory.latest_digests(df).orderBy("kind", "nth").collect()] == [("digest", 1), ("digest", 2), ("index", 1), ("profile", 1)]
     assert inventory.latest_digests(df).where("kind = 'digest' AND nth = 1").first().path.endswith("2024-02-01.md")
+
+
+def test_sweep(spark):
+    from scriptorium import tables
+
+    tables.sweep(spark)
+    kept = tables.materialise(spark.range(3), "x")
+    assert kept.count() == 3 and tables.sweep(spark) == 1 and tables.sweep(spark) == 0
