@@ -69,11 +69,16 @@ def counts(text: str) -> np.ndarray | None:
     return total if some else None
 
 
-def features(total: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(indices, values) of length 1."""
-    at = np.flatnonzero(total)
-    x = (1 + np.log(total[at])) * idf[at]
-    return at, x / max(1e-12, float(np.sqrt(x @ x)))
+def sparse(total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(indices, counts) of the features that occur."""
+    at = np.flatnonzero(total).astype(np.int32)
+    return at, total[at].astype(np.float32)
+
+
+def features(at: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Weights of the features that occur, scaled to length 1."""
+    x = (1 + np.log(n)) * idf[at]
+    return x / max(1e-12, float(np.sqrt(x @ x)))
 
 
 @dataclass(frozen=True)
@@ -85,8 +90,8 @@ class Model:
     temperature: float
 
     def logits(self, total: np.ndarray) -> np.ndarray:
-        at, x = features(total, self.idf)
-        return x @ self.weights[at] + self.bias
+        at, n = sparse(total)
+        return features(at, n, self.idf) @ self.weights[at] + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
         total = counts(text) if text else None
@@ -104,12 +109,13 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 def fit(rows: list[tuple[str, str]]) -> Model:
     """From (text, language) rows; every FOLDS-th row sets the temperature only."""
-    known = [(c, lang) for text, lang in rows if (c := counts(text)) is not None]
-    languages = tuple(sorted({lang for _, lang in known}))
+    known = [(*sparse(c), lang) for text, lang in rows if (c := counts(text)) is not None]
+    languages = tuple(sorted({lang for *_, lang in known}))
     if not known:
         return Model((), np.zeros(BUCKETS), np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0)
-    idf = np.log((1 + len(known)) / (1 + np.sum([c > 0 for c, _ in known], axis=0))) + 1
-    data = [(*features(c, idf), languages.index(lang)) for c, lang in known]
+    seen = np.bincount(np.concatenate([at for at, _, _ in known]), minlength=BUCKETS)
+    idf = np.log((1 + len(known)) / (1 + seen)) + 1
+    data = [(at, features(at, n, idf).astype(np.float32), languages.index(lang)) for at, n, lang in known]
     learn = [d for i, d in enumerate(data) if i % FOLDS] or data
     k = len(languages)
     z, n, bias = np.zeros((BUCKETS, k)), np.zeros((BUCKETS, k)), np.zeros(k)
