@@ -38,6 +38,18 @@ SHORT = 64
 NEVER = 1 << 60
 
 
+class _Whole(dict):
+    """By id, whether a token's own bytes merge to it."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__()
+        self.v = vocabulary
+
+    def __missing__(self, token: int) -> bool:
+        self[token] = known = self.v.spine(self.v.bytes_of[token]) is not None
+        return known
+
+
 class Vocabulary:
     """Ranks by bytes, and what the table needs to know about tokens and pairs of them.
 
@@ -55,6 +67,7 @@ class Vocabulary:
             ends.add_word(token.decode("latin-1"), (i, len(token)))
         ends.make_automaton()
         self.ends = ends
+        self.whole = _Whole(self)
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -132,19 +145,18 @@ class Vocabulary:
         done = len(last)
         last += [-1] * (len(data) - done)
         from_ = max(0, done + 1 - self.longest)
-        pairs = self.pairs.get
+        pairs, whole = self.pairs.get, self.whole
         for end, (token, size) in self.ends.iter(data[from_:].decode("latin-1")):
             end += from_
             if last[end] < 0:
-                start = end + 1 - size
-                if not start:
-                    if self.spine(data[: end + 1]) is not None:
-                        last[end] = token
-                else:
-                    before = last[start - 1]
+                start = end - size
+                if start >= 0:
+                    before = last[start]
                     known = pairs(before << 32 | token)
                     if known or known is None and self.fits(before, token):
                         last[end] = token
+                elif whole[token]:
+                    last[end] = token
 
     def follow(self, last: list[int]) -> list[int]:
         """The ids of the whole, from the last tokens of its prefixes."""
@@ -197,12 +209,14 @@ class PrefixTable:
 class Encoder:
     """Texts to ids and back.
 
-    A single space between two characters that aren't blank always starts a match of the pattern, whatever follows, so
-    texts are first cut there; what stands between two such spaces is cut by the pattern and encoded once, then kept.
+    With the usual patterns (` ?\\p{L}+` and the like; `spaced` says so), a single space between two characters that
+    aren't blank always starts a match, whatever follows. So texts are first cut there; what stands between two such
+    spaces is cut by the pattern and encoded once, then kept. A space and letters only are one match.
     """
 
-    def __init__(self, vocabulary: Vocabulary, pattern: str):
+    def __init__(self, vocabulary: Vocabulary, pattern: str, spaced: bool = True):
         self.v = vocabulary
+        self.spaced = spaced
         self.pieces = regex.compile(pattern).findall
         self.words: dict[str, tuple[int, ...]] = {}
         self.known: dict[str, tuple[int, ...]] = {}
@@ -230,7 +244,7 @@ class Encoder:
 
     def encode(self, text: str) -> list[int]:
         first, *rest = text.split(" ")
-        if not rest or not first or first[-1].isspace():
+        if not self.spaced or not rest or not first or first[-1].isspace():
             return self.matches(text)
         out = self.matches(first)
         words, extend = self.words, out.extend
@@ -239,7 +253,7 @@ class Encoder:
             if ids is None:
                 if not w or w[0].isspace() or w[-1].isspace():  # a run of blanks: the pattern must see all of it
                     return self.matches(text)
-                ids = self.matches(" " + w)
+                ids = self.piece(" " + w) if w.isalpha() else self.matches(" " + w)
                 if len(w) <= SHORT:
                     if len(words) >= WORDS:
                         words.clear()
@@ -253,7 +267,7 @@ class Encoder:
 
 @lru_cache(4)
 def encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(Vocabulary.load(path), pattern)
+    return Encoder(Vocabulary.load(path), pattern, r" ?\p{L}+" in pattern)
 
 
 def default_path() -> str:

@@ -86,7 +86,7 @@ def repeated_cells(keys: DataFrame, rows: int) -> np.ndarray:
 
     summed = keys.mapInArrow(hits, "segment int, hits binary").groupBy("segment").applyInPandas(add_up, "segment int, bits binary")
     out = np.zeros(bits // 8, np.uint8)
-    for r in summed.toLocalIterator():
+    for r in summed.collect():  # bits / 8 bytes at most
         out[r["segment"] * width // 8 : (r["segment"] + 1) * width // 8] = np.frombuffer(r["bits"], np.uint8)
     return out
 
