@@ -13,14 +13,15 @@ def _stars(edges: DataFrame, larger_only: bool) -> DataFrame:
 
     Large star: each node hands the least node it sees, itself included, to its larger neighbours.
     Small star: each node hands the least of its smaller neighbours to the others and to itself.
-    Minima are partial aggregates, so a hub costs one row for each task; the join is one that Spark can split.
+    Minima are partial aggregates, so a hub costs one row for each task. They become a table before the join, whose two
+    sides are then plain exchanges: the engine can split a hub's rows among tasks.
     """
     if larger_only:
         seen = edges.select(F.col("u").alias("n"), F.col("v").alias("m")).unionByName(edges.select(F.col("v").alias("n"), F.col("u").alias("m")))
-        least = seen.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("least"))
+        least = materialise(seen.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("least")), "least")
         moved = edges.join(least, edges["v"] == least["n"]).select("u", F.col("least").alias("v"))
     else:
-        least = edges.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("least"))
+        least = materialise(edges.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("least")), "least")
         moved = edges.join(least, edges["u"] == least["n"]).select("u", "v", "least")
         moved = moved.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("least").alias("v")), F.struct("u", F.col("least").alias("v")))).alias("e")).select("e.u", "e.v")
     return moved.where("u <> v").distinct()
