@@ -392,7 +392,7 @@ def test_passages(docs, corpus, odd, empty):
     assert not alone & set(clusters)
     for c in {(r.kind, r.cluster_id) for r in rows}:
         members = [r for r in rows if (r.kind, r.cluster_id) == c]
-        assert sum(r.kept for r in members) == 1 and len(members) == members[0].cluster_size
+        assert (sum(r.kept for r in members) == 1 if c[0] == "paragraph" else any(r.kept for r in members)) and len(members) == members[0].cluster_size
     assert passages.passages_query(empty).count() == 0
     assert {r.doc_id for r in passages.passages_query(odd).collect()} == set()
 
