@@ -1,13 +1,16 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Every source's documents are cut into blocks of `block_docs`. A source of weight w gets the i-th of its blocks (from 1)
-a release time floor((i - 1) / w) and a deadline ceil(i / w), in slots; at each slot, of the blocks released, the
-one of earliest deadline goes next. After t slots each source then has within one block of t * w.
-
-Weights are whole shares of a cycle of `cycle` slots, so the schedule repeats and only one cycle is ever simulated:
-block i of a source with a shares stands in slot table[(i - 1) mod a] of cycle (i - 1) // a. When a source has no
-block left, a new phase begins for the rest, in their old proportions. The driver holds a cycle for each phase, at
-most sources x cycle numbers; it never sees documents or blocks.
+Every source's documents are cut into blocks of `block_docs`. The targets are exact: while sources have blocks left, each
+slot is shared among them in proportion to their weights, as rational numbers without rounding, and a source that ends
+leaves its share to the others. Block i of a source (from 0) has as release the slot in which its target passes i, and as
+deadline the one in which it reaches i + 1; at each slot, of the blocks released, the one of earliest deadline goes next.
+The windows hold no more work than slots, so all deadlines are met: after any number of slots, over the whole schedule,
+each source has within one block of its target.
+
+The target of a source of weight w and n blocks at virtual time v is min(n, w * v), and the slot is the sum of these over
+all sources. Of that, with D blocks of sources that have ended and weights W of the others, slot = D + W * v: one exact
+division for a block. The driver simulates every block but holds only one table row of GROUP blocks for each source and
+CHUNK blocks in all before they are written; it never sees documents.
 
 Documents get their number within the source from hash buckets of about `bucket_docs` rows: counts of buckets are
 summed up, and rows are numbered inside a bucket. A hot source just has more buckets.
@@ -22,90 +25,104 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
+from fractions import Fraction
+from functools import reduce
+from itertools import accumulate
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..tables import materialise, ship
+from ..tables import by_checked_size, materialise, ship
 
 BLOCK_DOCS = 16
 CYCLE = 1000
 BUCKET_DOCS = 4096
-#: Sources that may be mixed: phases and their cycles are held by the driver.
+#: Sources that may be mixed: the driver holds up to GROUP slots for each.
 MAX_SOURCES = 10_000
+#: Blocks in a row of the plan, and in a table of it (counted by full rows).
+GROUP = 1024
+CHUNK = 1 << 20
 
 
-def shares(weights: list[float], cycle: int) -> list[int]:
-    """Whole shares of a cycle, at least one each, by largest remainder; they add up to max(cycle, sources)."""
-    cycle = max(cycle, len(weights))
-    total = math.fsum(weights)
-    exact = [(cycle - len(weights)) * w / total for w in weights]
-    out = [1 + math.floor(x) for x in exact]
-    for i in sorted(range(len(weights)), key=lambda i: (math.floor(exact[i]) - exact[i], i))[: cycle - sum(out)]:
-        out[i] += 1
-    return out
-
-
-def one_cycle(parts: list[int]) -> list[list[int]]:
-    """For each source its slots within one cycle of sum(parts): earliest deadline first among released subtasks."""
-    length = sum(parts)
-    releases = sorted(((i * length) // a, s, i) for s, a in enumerate(parts) for i in range(a))
-    ready: list[tuple[int, int, int]] = []
-    slots: list[list[int]] = [[] for _ in parts]
-    at = 0
-    for t in range(length):
-        while at < len(releases) and releases[at][0] <= t:
-            _, s, i = releases[at]
-            heapq.heappush(ready, (-(-(i + 1) * length // parts[s]), s, i))
-            at += 1
-        _, s, _ = heapq.heappop(ready)
-        slots[s].append(t)
-    return slots
+def placements(blocks: Mapping[str | None, int], weights: Mapping[str | None, float]) -> Iterator[tuple[str | None, bool]]:
+    """For each slot the source whose next block stands there, and whether that is its last."""
+    if any(w <= 0 for w in weights.values()):
+        raise ValueError("weights must be positive")
+    left = {s: n for s, n in blocks.items() if n > 0}
+    least = min((w for s, w in weights.items() if s in left), default=1.0)
+    exact = {s: Fraction(weights.get(s, least)) for s in left}
+    unit = math.lcm(*(w.denominator for w in exact.values()))
+    names = sorted(left, key=lambda s: (exact[s] / -left[s], s is not None, s or ""))  # in the order in which they end
+    ws = [int(exact[s] * unit) for s in names]
+    ns = [left[s] for s in names]
+    common = math.gcd(*ws)
+    ws = [w // common for w in ws]
+    ended = list(accumulate(ns, initial=0))
+    rates = list(accumulate(reversed(ws), initial=0))[::-1]  # rates[k]: weights of names[k:]
+    order = sorted(range(len(names)), key=lambda k: (names[k] is not None, names[k] or ""))
+    rank = {k: r for r, k in enumerate(order)}
+    segment = [0] * len(names)
+
+    def reached(k: int, i: int) -> tuple[int, int]:
+        """The slot, rounded down and up, in which the k-th source's target is i."""
+        at, end, w = segment[k], k, ws[k]
+        while at < end:  # the sources that end before; the k-th itself ends at or after this
+            mid = (at + end) // 2
+            if ns[mid] * w <= i * ws[mid]:
+                at = mid + 1
+            else:
+                end = mid
+        segment[k] = at
+        down, rest = divmod(rates[at] * i, w)
+        return ended[at] + down, ended[at] + down + (rest > 0)
+
+    ready, later = [], []  # one entry for each source: its next block
+    done = [0] * len(names)
+    after = [0] * len(names)
+    for k in range(len(names)):
+        after[k], deadline = reached(k, 1)
+        ready.append((deadline, rank[k], k))
+    heapq.heapify(ready)
+    for t in range(ended[-1]):
+        while later and later[0][0] <= t:
+            _, deadline, r, k = heapq.heappop(later)
+            heapq.heappush(ready, (deadline, r, k))
+        _, r, k = heapq.heappop(ready)
+        done[k] += 1
+        yield names[k], done[k] == ns[k]
+        if done[k] < ns[k]:
+            release = after[k]
+            after[k], deadline = reached(k, done[k] + 1)
+            heapq.heappush(later, (release, deadline, r, k))
 
 
 @dataclass
 class Phase:
-    """From slot `start` on, until a source has no block left: for each source, its blocks before and its slots in a cycle."""
+    """`length` slots from `start` on: for each source placed in them, its blocks before and after, and its slots from `start`."""
 
     start: int
-    length: int
+    length: int = 0
     before: dict = field(default_factory=dict)
     upto: dict = field(default_factory=dict)
     slots: dict = field(default_factory=dict)
 
 
 def schedule(blocks: Mapping[str | None, int], weights: Mapping[str | None, float], cycle: int = CYCLE) -> list[Phase]:
-    """The phases that place `blocks[s]` blocks of each source."""
-    left = {s: n for s, n in blocks.items() if n > 0}
-    names = sorted(left, key=lambda s: (s is not None, s or ""))
-    least = min((w for s, w in weights.items() if s in left), default=1.0)
-    if any(w <= 0 for w in weights.values()):
-        raise ValueError("weights must be positive")
-    done = dict.fromkeys(names, 0)
-    phases, start = [], 0
-    while names:
-        parts = shares([weights.get(s, least) for s in names], cycle)
-        slots, length = one_cycle(parts), sum(parts)
-
-        def last(k: int, parts=parts, slots=slots, length=length, names=names) -> int:
-            """The slot of the k-th source's last block, counted from the phase's start."""
-            n = left[names[k]]
-            return (n - 1) // parts[k] * length + slots[k][(n - 1) % parts[k]]
-
-        end = min(range(len(names)), key=last)
-        span = last(end) + 1
-        phase = Phase(start, length)
-        for k, s in enumerate(names):
-            placed = span // length * parts[k] + sum(t < span % length for t in slots[k])
-            phase.before[s], phase.upto[s], phase.slots[s] = done[s], done[s] + placed, slots[k]
-            done[s] += placed
-            left[s] -= placed
-        phases.append(phase)
-        start += span
-        names = [s for s in names if left[s]]
+    """The placements in phases of `cycle` slots at most; where a source ends, so does a phase."""
+    phases: list[Phase] = []
+    done: dict = {}
+    phase = Phase(0)
+    for s, last in placements(blocks, weights):
+        phase.before.setdefault(s, done.get(s, 0))
+        phase.slots.setdefault(s, []).append(phase.length)
+        phase.upto[s] = done[s] = done.get(s, 0) + 1
+        phase.length += 1
+        if last or phase.length == cycle:
+            phases.append(phase)
+            phase = Phase(phase.start + phase.length)
     return phases
 
 
@@ -125,29 +142,44 @@ def numbered(docs: DataFrame, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
     return placed.select("doc_id", "source", (F.col("offset") + F.col("i")).cast("long").alias("nth"))
 
 
-_PLAN = T.StructType(
-    [T.StructField("p_source", T.StringType())]
-    + [T.StructField(c, T.LongType(), False) for c in ("start", "length", "before", "upto")]
-    + [T.StructField("slots", T.ArrayType(T.IntegerType(), False), False)]
-)
+_PLAN = T.StructType([T.StructField("p_source", T.StringType()), T.StructField("p_group", T.LongType(), False), T.StructField("slots", T.ArrayType(T.LongType(), False), False)])
+
+
+def _plan(spark: SparkSession, blocks: Mapping[str | None, int], weights: Mapping[str | None, float]) -> DataFrame:
+    """(p_source, p_group, slots): for each source and GROUP of its blocks their slots, in tables of about CHUNK blocks."""
+    open_: dict = {}
+    groups: dict = {}
+    full: list = []
+    tables = []
+    for t, (s, last) in enumerate(placements(blocks, weights)):
+        slots = open_.setdefault(s, [])
+        slots.append(t)
+        if last or len(slots) == GROUP:
+            full.append((s, groups.get(s, 0), open_.pop(s)))
+            groups[s] = groups.get(s, 0) + 1
+            if len(full) * GROUP >= CHUNK:
+                tables.append(materialise(spark.createDataFrame(full, _PLAN), "plan"))
+                full = []
+    tables.append(spark.createDataFrame(full, _PLAN))
+    return reduce(DataFrame.unionByName, tables)
 
 
 def positions(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_docs: int = BLOCK_DOCS, cycle: int = CYCLE) -> DataFrame:
-    """doc_id, source, block (from 0 in the source), slot (of the whole schedule), position (a total order of rows)."""
+    """doc_id, source, block (from 0 in the source), slot (of the whole schedule), position (a total order of rows).
+
+    The schedule is the same whatever `cycle` is: that only cuts schedule()'s phases.
+    """
     spark = docs.sparkSession
     ship(spark)
     sizes = {r["source"]: r["n"] for r in docs.groupBy(F.col("source").cast("string").alias("source")).agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()}
     if len(sizes) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    phases = schedule({s: -(-n // block_docs) for s, n in sizes.items()}, weights or {}, cycle)
-    plan = [(s, p.start, p.length, p.before[s], p.upto[s], p.slots[s]) for p in phases for s in p.before]
-    table = spark.createDataFrame(plan, _PLAN)
+    blocks = {s: -(-n // block_docs) for s, n in sizes.items()}
+    table = _plan(spark, blocks, weights or {})
     rows = numbered(docs).withColumn("block", F.floor(F.col("nth") / block_docs).cast("long"))
-    on = F.col("source").eqNullSafe(F.col("p_source")) & (F.col("block") >= F.col("before")) & (F.col("block") < F.col("upto"))
-    ith = F.col("block") - F.col("before")
-    share = F.size("slots").cast("long")
-    slot = F.col("start") + F.floor(ith / share).cast("long") * F.col("length") + F.element_at("slots", (ith % share + 1).cast("int"))
-    out = rows.join(F.broadcast(table), on).withColumn("slot", slot.cast("long"))
+    on = F.col("source").eqNullSafe(F.col("p_source")) & (F.floor(F.col("block") / GROUP).cast("long") == F.col("p_group"))
+    slot = F.element_at("slots", (F.col("block") % GROUP + 1).cast("int"))
+    out = rows.join(by_checked_size(table, sum(blocks.values())), on).withColumn("slot", slot.cast("long"))
     return out.select("doc_id", "source", "block", "slot", (F.col("slot") * block_docs + F.col("nth") % block_docs).alias("position"))
 
 

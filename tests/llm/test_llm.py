@@ -6,6 +6,7 @@ import math
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -286,6 +287,38 @@ def test_schedule_stays_within_a_block(blocks, weights):
                 assert abs(done - (t + 1 - p.start) * len(slots) / p.length) < 1
 
 
+@pytest.mark.parametrize("weights", [[0.7, 0.2, 0.05, 0.05], [1 / 3] + [2 / 3 / 500] * 500, [float(n) ** 0.7 for n in range(1, 1200)]])
+def test_schedule_holds_the_targets_over_many_cycles(weights):
+    blocks = {f"s{k:04}": 20_000 if w == max(weights) else 60 + k % 7 for k, w in enumerate(weights)}
+    exact = {s: Fraction(w) for s, w in zip(blocks, weights, strict=True)}
+    ends = sorted(blocks, key=lambda s: blocks[s] / exact[s])
+    done, now, virtual, rate, gone = dict.fromkeys(blocks, 0), 0, Fraction(0), sum(exact.values()), 0
+    for t, (s, last) in enumerate(mixing.placements(blocks, {s: w for s, w in zip(blocks, weights, strict=True)}), 1):
+        done[s] += 1
+        assert last == (done[s] == blocks[s])
+        if t % 97 and not last:
+            continue
+        while now < len(ends) and virtual + (t - gone) / rate >= blocks[ends[now]] / exact[ends[now]]:
+            at = blocks[ends[now]] / exact[ends[now]]
+            gone, virtual = gone + (at - virtual) * rate, at
+            rate -= exact[ends[now]]
+            now += 1
+        v = float(virtual + (t - gone) / rate) if rate else math.inf
+        assert all(abs(done[x] - min(blocks[x], w * v)) < 1 + 1e-9 for x, w in zip(blocks, weights, strict=True))
+    assert done == blocks
+
+
+def test_positions_over_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP", 3)
+    monkeypatch.setattr(mixing, "CHUNK", 12)
+    weights = {"a": 0.7, "b": 0.25, None: 0.05}
+    rows = [(i, "a" if i % 10 < 6 else "b" if i % 10 < 9 else None) for i in range(400)]
+    got = mixing.positions(spark.createDataFrame(rows, "doc_id long, source string"), weights, block_docs=2).collect()
+    assert sorted(r.doc_id for r in got) == list(range(400)) and len({r.position for r in got}) == 400
+    placed = [s for s, _ in mixing.placements({"a": 120, "b": 60, None: 20}, weights)]
+    assert [s for s, *_ in sorted({(r.source, r.slot) for r in got}, key=lambda x: x[1])] == placed
+
+
 def test_mixing(docs, corpus, odd, empty):
     got = mixing.positions(docs, {"s0": 3, "s1": 1, "s2": 1}, block_docs=4, cycle=20).collect()
     assert sorted(r.doc_id for r in got) == [i for i, *_ in corpus]
