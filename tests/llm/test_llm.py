@@ -430,6 +430,39 @@ def test_passages(docs, corpus, odd, empty):
     assert {r.doc_id for r in passages.passages_query(odd).collect()} == set()
 
 
+def covered(rows, kept=None):
+    """For each document the words in spans of passages."""
+    out = {}
+    for r in rows:
+        if r.kind == "passage" and kept in (None, r.kept):
+            out.setdefault(r.doc_id, set()).update(range(r.start, r.stop))
+    return out
+
+
+def test_passages_are_every_shared_word(spark):
+    rng = random.Random(21)
+    fresh = lambda n: [f"{rng.getrandbits(60):x}" for _ in range(n)]
+    texts = []
+    words = passages.PASSAGE_WORDS
+    for n in (words - 1, 50, 51, 55, 60, 100) * 12:
+        passage = fresh(n) if n != 100 else (fresh(7) * 20)[:100]  # the last are repetitive
+        texts += [fresh(rng.randrange(40)) + passage + fresh(rng.randrange(40)) for _ in range(2)]
+    texts += [fresh(30) + ["same"] * 80 + fresh(30), fresh(9) + ["same"] * 50 + fresh(9)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    seen = {}
+    for i, w in enumerate(texts):
+        for k in range(len(w) - words + 1):
+            seen.setdefault(tuple(w[k : k + words]), set()).add(i)
+    want = {}
+    for i, w in enumerate(texts):
+        for k in range(len(w) - words + 1):
+            docs_of = seen[tuple(w[k : k + words])]
+            if len(docs_of) > 1:
+                want.setdefault(i, set()).update(range(k, k + words))
+    got = passages.passages_query(docs).collect()
+    assert len(want) > 120 and covered(got) == want
+
+
 def test_paragraph_links_make_up_all_components(spark):
     rng = random.Random(9)
     base = [WORDS[rng.randrange(400)] for _ in range(70)]
