@@ -453,14 +453,25 @@ def test_passages_are_every_shared_word(spark):
     for i, w in enumerate(texts):
         for k in range(len(w) - words + 1):
             seen.setdefault(tuple(w[k : k + words]), set()).add(i)
-    want = {}
+    want, late = {}, {}
     for i, w in enumerate(texts):
         for k in range(len(w) - words + 1):
             docs_of = seen[tuple(w[k : k + words])]
             if len(docs_of) > 1:
                 want.setdefault(i, set()).update(range(k, k + words))
+                if i > min(docs_of):
+                    late.setdefault(i, set()).update(range(k, k + words))
     got = passages.passages_query(docs).collect()
-    assert len(want) > 120 and covered(got) == want
+    assert len(want) > 120 and covered(got) == want and covered(got, False) == late
+
+
+def test_a_run_keeps_only_what_is_first_seen_in_it(spark):
+    rng = random.Random(22)
+    first, second = ([f"{rng.getrandbits(60):x}" for _ in range(60)] for _ in range(2))
+    texts = [first, first + second, first + second, second[:40]]
+    rows = passages.passages_query(spark.createDataFrame([(i, " ".join(["own", str(i), *w])) for i, w in enumerate(texts)], "doc_id long, text string")).collect()
+    assert covered(rows, True) == {0: set(range(2, 62)), 1: set(range(62, 122))}
+    assert covered(rows, False) == {1: set(range(2, 62)), 2: set(range(2, 122)), 3: set(range(2, 42))}
 
 
 def test_paragraph_links_make_up_all_components(spark):
