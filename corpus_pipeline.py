@@ -34,10 +34,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens, token_ids: the training rows, in order."""
+    """doc_id, source, n_tokens, token_ids, position: the training rows, whose order is that of position, the place in mix_sources' schedule."""
     from pyspark.sql import functions as F
 
-    return bpe.encoded(docs.select("doc_id", "source", "text")).select("doc_id", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids")
+    rows = bpe.encoded(docs.select("doc_id", "source", "text")).select("doc_id", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids")
+    return mixing.with_places(rows, docs)
 
 
 STAGES = [

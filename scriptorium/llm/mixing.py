@@ -189,13 +189,31 @@ def default_weights(docs: DataFrame, power: float = 0.7) -> dict[str | None, flo
     return {r["source"]: float(r["n"]) ** power for r in rows}
 
 
+def places(docs: DataFrame, weights: Mapping[str | None, float] | None = None) -> DataFrame:
+    """(__mix_id, __mix_at), as a table: each doc_id's place in the schedule; rows that repeat one share the least.
+
+    It follows from doc_id and source alone, so the same rows have the same places however they are stored.
+    """
+    return materialise(positions(docs, weights or default_weights(docs)).groupBy(F.col("doc_id").alias("__mix_id")).agg(F.min("position").alias("__mix_at")), "positions")
+
+
 def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None) -> DataFrame:
-    """All rows of docs with their columns, in mixed order: range-partitioned and sorted by their place in the schedule."""
-    order = materialise(positions(docs, weights or default_weights(docs)).groupBy(F.col("doc_id").alias("__mix_id")).agg(F.min("position").alias("__mix_at")), "positions")
+    """All rows of docs with their columns, in mixed order: range-partitioned and sorted by their place in the schedule.
+
+    A table written of it is not read back in that order; with_places() gives the place as a column.
+    """
+    order = places(docs, weights)
     placed = docs.join(order, docs["doc_id"].cast("long").eqNullSafe(F.col("__mix_id")))
     return placed.repartitionByRange(F.col("__mix_at")).sortWithinPartitions("__mix_at").drop("__mix_id", "__mix_at")
 
 
+def with_places(rows: DataFrame, docs: DataFrame, weights: Mapping[str | None, float] | None = None) -> DataFrame:
+    """All columns of rows, whose doc_ids are those of docs, and `position`: the place in the schedule of docs."""
+    order = places(docs, weights)
+    placed = rows.join(by_checked_size(order, order.count()), rows["doc_id"].cast("long").eqNullSafe(F.col("__mix_id")))
+    return placed.withColumn("position", F.col("__mix_at")).drop("__mix_id", "__mix_at")
+
+
 def mixing_query(docs: DataFrame) -> DataFrame:
     """doc_id, source, block, slot, position: one row for each row of docs."""
     return positions(docs, default_weights(docs))

@@ -9,7 +9,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 pipeline = pytest.importorskip("corpus_pipeline")
 
-from scriptorium.llm import bpe, quality, simhash  # noqa: E402
+from scriptorium.llm import bpe, mixing, quality, simhash  # noqa: E402
 from scriptorium.llm.common import documents  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
@@ -60,6 +60,20 @@ def test_stages(spark):
     assert pipeline.run(spark, DATA).count() == len(texts)
 
 
+def test_encoded_rows_carry_their_place_in_the_schedule(spark, tmp_path):
+    docs = documents(spark, DATA)
+    wanted = {r.doc_id: r.position for r in mixing.positions(docs, mixing.default_weights(docs)).collect()}
+    mixed = pipeline.mix_sources(spark, docs, DATA)
+    for k, share in enumerate((0, 3, 5, 40, 100)):  # files of unequal size
+        mixed.where(f"pmod(hash(doc_id), 100) >= {share}" + (f" AND pmod(hash(doc_id), 100) < {(3, 5, 40, 100)[k]}" if k < 4 else "")).coalesce(1).write.mode("append").parquet(str(tmp_path / "mixed"))
+    back = spark.read.parquet(str(tmp_path / "mixed"))
+    rows = pipeline.encode(spark, back, DATA).collect()
+    assert {r.doc_id: r.position for r in rows} == wanted and len(rows) == len(set(wanted.values())) == docs.count()
+    blocks = {s: -(-n // mixing.BLOCK_DOCS) for s, n in ((r.source, r["count"]) for r in docs.groupBy("source").count().collect())}
+    slots = sorted({(r.position // mixing.BLOCK_DOCS, r.source) for r in rows}, key=lambda x: x[0])
+    assert [s for _, s in slots] == [s for s, _ in mixing.placements(blocks, mixing.default_weights(docs))]
+
+
 def test_empty_documents(spark):
     docs = documents(spark, DATA).limit(0)
     for _, stage in pipeline.STAGES:
