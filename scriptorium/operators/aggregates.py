@@ -34,13 +34,12 @@ def zero_filled(rows: DataFrame, column: str, values: Sequence[str]) -> DataFram
 
 
 def duplicate_groups(rows: DataFrame, keys: Sequence[str], item: str) -> DataFrame:
-    """(keys, n, items): groups of more than one, members in order, joined by commas. Null and empty keys don't count."""
+    """(keys, item, n): the members of groups of more than one, a row each. Null and empty keys don't count."""
     named = rows
     for k in keys:
         named = named.where(F.col(k).isNotNull() & (F.col(k).cast("string") != "") & (F.col(k).cast("string") != "<unknown>"))
     crowded = named.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
-    members = named.join(crowded, list(keys), "left_semi")
-    return members.groupBy(*keys).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.col(item))).cast("array<string>"), ",").alias("items"))
+    return named.join(crowded, list(keys)).select(*keys, item, "n")
 
 
 def moc_stale(summaries: DataFrame, pages: DataFrame, key: str, threshold: int = 3) -> DataFrame:
@@ -130,11 +129,22 @@ def alias_candidates(mentions: DataFrame, existing: DataFrame) -> DataFrame:
     return out.select("first.alias", "first.kind", "support")
 
 
-def co_mentions(rows: DataFrame, group: str, item: str, least: int = 1, largest_group: int | None = None) -> DataFrame:
-    """(a, b, n): in how many groups two items occur together, a < b. Items of a group meet by an equi-join on the group."""
-    each = rows.select(group, item).where(F.col(group).isNotNull() & F.col(item).isNotNull()).distinct()
-    a, b = each.select(F.col(group).alias("g"), F.col(item).alias("a")), each.select(F.col(group).alias("g"), F.col(item).alias("b"))
-    return a.join(b, "g").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+def co_mentions(rows: DataFrame, group: str, item: str, least: int = 1, paths: int = 0) -> DataFrame:
+    """(a, b, n): in how many groups two items occur together, a < b; with `paths`, also the least so many groups, in order.
+
+    Items that occur in fewer than `least` groups can't be in a result and go first. Those of a group then meet by an
+    equi-join on the group: distinct entities of one document, whose number a document bounds.
+    """
+    each = rows.select(F.col(group).alias("g"), F.col(item).alias("i")).where("g IS NOT NULL AND i IS NOT NULL").distinct()
+    often = each.groupBy("i").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("i")
+    each = each.join(often, "i", "left_semi")
+    pairs = each.select("g", F.col("i").alias("a")).join(each.select("g", F.col("i").alias("b")), "g").where("a < b")
+    out = pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    if not paths:
+        return out
+    order = Window.partitionBy("a", "b").orderBy("g")
+    first = pairs.withColumn("r", F.row_number().over(order)).where(F.col("r") <= paths).groupBy("a", "b").agg(F.array_sort(F.collect_list("g")).alias("paths"))  # `paths` at most
+    return out.join(first, ["a", "b"])
 
 
 def missing_fields(rows: DataFrame, key: str, fields: Column, required: Sequence[str]) -> DataFrame:

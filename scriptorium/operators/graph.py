@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..tables import materialise
+from ..tables import discard, materialise
 
 
 def _stars(edges: DataFrame, larger_only: bool) -> DataFrame:
-    """One star step over rows (u > v).
+    """One star step over a table of rows (u > v), which it replaces.
 
     Large star: each node hands the least node it sees, itself included, to its larger neighbours.
     Small star: each node hands the least of its smaller neighbours to the others and to itself.
@@ -24,7 +24,9 @@ def _stars(edges: DataFrame, larger_only: bool) -> DataFrame:
         least = materialise(edges.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("least")), "least")
         moved = edges.join(least, edges["u"] == least["n"]).select("u", "v", "least")
         moved = moved.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("least").alias("v")), F.struct("u", F.col("least").alias("v")))).alias("e")).select("e.u", "e.v")
-    return moved.where("u <> v").distinct()
+    out = materialise(moved.where("u <> v").distinct(), "stars")
+    discard(edges, least)
+    return out
 
 
 def _all_stars(edges: DataFrame) -> bool:
@@ -34,19 +36,18 @@ def _all_stars(edges: DataFrame) -> bool:
     return bad.agg(F.count("*")).first()[0] == 0
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node with an edge that isn't itself a root; root is the least node that it reaches.
 
     edges: two long columns; direction, repeats and loops don't matter; null ends are ignored. Only counts reach the driver.
+    Rounds go on until every component is a star; each hands nodes to smaller ones only, so that they come to an end.
     """
     a, b = edges.columns[:2]
     pairs = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     table = materialise(pairs.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).distinct(), "edges")
-    for _ in range(rounds):
-        if _all_stars(table):
-            return table.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        table = materialise(_stars(materialise(_stars(table, True), "stars"), False), "stars")
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+    while not _all_stars(table):
+        table = _stars(_stars(table, True), False)
+    return table.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def threads(messages: DataFrame) -> DataFrame:
@@ -65,7 +66,16 @@ def threads(messages: DataFrame) -> DataFrame:
     return out.join(sizes, "thread_id").select("message_id", "thread_id", "size")
 
 
+def thread_order(turns: DataFrame) -> DataFrame:
+    """(thread_id, at, member, nth): a thread's messages in order of time, undated ones first, ties by member; nth from 1.
+
+    One row for each message: a thread of any length spreads over as many rows, sorted externally within its partition.
+    """
+    order = Window.partitionBy("thread_id").orderBy(F.col("at").asc_nulls_first(), "member")
+    return turns.select("thread_id", "at", "member", F.row_number().over(order).cast("long").alias("nth"))
+
+
 def thread_summary(turns: DataFrame) -> DataFrame:
-    """(thread_id, n, latest, members): messages of a thread in order of time, undated ones first. turns: thread_id, at, member."""
-    ordered = F.array_sort(F.collect_list(F.struct("at", "member")), lambda a, b: F.when(a["at"].isNull() & b["at"].isNull(), F.when(a["member"] < b["member"], -1).otherwise(1)).when(a["at"].isNull(), -1).when(b["at"].isNull(), 1).when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).when(a["member"] < b["member"], -1).otherwise(1))
-    return turns.groupBy("thread_id").agg(F.count("*").alias("n"), F.max("at").alias("latest"), F.array_join(F.transform(ordered, lambda x: x["member"]), ",").alias("members"))
+    """(thread_id, n, latest, first_member): a thread's size, its latest date, and the member of its earliest message."""
+    first = F.min(F.struct(F.col("at").isNotNull().alias("dated"), "at", "member"))
+    return turns.groupBy("thread_id").agg(F.count("*").alias("n"), F.max("at").alias("latest"), first.alias("f")).select("thread_id", "n", "latest", F.col("f.member").alias("first_member"))

@@ -72,15 +72,15 @@ def source_candidates(mirrors: DataFrame, files: DataFrame, extensions: Sequence
     """mirrors (path) with `source`: the file of the same directory and stem whose extension stands first in the list."""
     stem = lambda c: F.regexp_replace(c, r"\.[^./]+$", "")
     found = files.select(F.col("path").alias("source"), stem(F.col("path")).alias("__stem"), F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).alias("__ext")).where(F.col("__ext").isin(*extensions))
-    order = Window.partitionBy("__stem").orderBy(F.array_position(F.array(*map(F.lit, extensions)), F.col("__ext")), "source")
-    first = found.withColumn("__n", F.row_number().over(order)).where("__n = 1").select("__stem", "source")
+    order = F.struct(F.array_position(F.array(*map(F.lit, extensions)), F.col("__ext")), "source")
+    first = found.groupBy("__stem").agg(F.min_by("source", order).alias("source"))
     return mirrors.withColumn("__m", stem(F.col("path"))).join(first, F.col("__m") == F.col("__stem"), "left").drop("__m", "__stem")
 
 
 def find_attachment(references: DataFrame, files: DataFrame, central: str) -> DataFrame:
     """references (name) with `path`: of the files of that name, one in the central folder if there is any, else the least path."""
-    order = Window.partitionBy("name").orderBy(F.when(F.col("path").startswith(central + "/"), 0).otherwise(1), "path")
-    named = files.select(F.substring_index("path", "/", -1).alias("name"), "path").withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    order = F.struct(F.when(F.col("path").startswith(central + "/"), 0).otherwise(1), "path")
+    named = files.select(F.substring_index("path", "/", -1).alias("name"), "path").groupBy("name").agg(F.min_by("path", order).alias("path"))
     return references.join(named, "name", "left")
 
 

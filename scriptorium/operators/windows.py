@@ -46,8 +46,9 @@ def collision_suffix(moves: DataFrame, target: str, order: str) -> DataFrame:
 
 def move_or_copy(references: DataFrame) -> DataFrame:
     """references (dir, name, doc, moved) with `action` for those of moved documents: copy while another document still refers, else move."""
-    left = F.count_if(~F.col("moved")).over(Window.partitionBy("dir", "name"))
-    return references.withColumn("action", F.when(left > 0, "copy").otherwise("move")).where("moved")
+    held = references.where("NOT moved").select(F.col("dir").alias("__d"), F.col("name").alias("__n")).distinct()
+    out = references.where("moved").join(held, F.col("dir").eqNullSafe(F.col("__d")) & F.col("name").eqNullSafe(F.col("__n")), "left")
+    return out.withColumn("action", F.when(F.col("__n").isNotNull() | F.col("__d").isNotNull(), "copy").otherwise("move")).drop("__d", "__n")
 
 
 def keepers(rows: DataFrame, group: str, key: str) -> DataFrame:

@@ -180,7 +180,7 @@ def stats_zero_filled(spark, sf_dir):
     return aggregates.zero_filled(Tables(spark, sf_dir).events.select("event_type"), "event_type", _TYPES)
 
 
-@query("SELECT sha256(text) AS hash, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS items FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+@query("SELECT sha256(text) AS hash, doc_id, count(*) OVER (PARTITION BY text) AS n FROM documents WHERE text IS NOT NULL QUALIFY count(*) OVER (PARTITION BY text) > 1")
 def duplicate_groups(spark, sf_dir):
     d = Tables(spark, sf_dir).documents.select("doc_id", F.sha2("text", 256).alias("hash"))
     return aggregates.duplicate_groups(d, ["hash"], "doc_id")
@@ -467,7 +467,12 @@ def components(spark, sf_dir):
     return graph.threads(rows)
 
 
-@query("SELECT conv_id AS thread_id, count(*) AS n, max(turn) AS latest, string_agg(role, ',' ORDER BY turn, role) AS members FROM conversations GROUP BY 1")
+@query("SELECT conv_id AS thread_id, turn AS \"at\", role AS member, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS nth FROM conversations")
+def thread_order(spark, sf_dir):
+    return graph.thread_order(Tables(spark, sf_dir).conversations.select(F.col("conv_id").alias("thread_id"), F.col("turn").alias("at"), F.col("role").alias("member")))
+
+
+@query("SELECT conv_id AS thread_id, count(*) AS n, max(turn) AS latest, first(role ORDER BY turn, role) AS first_member FROM conversations GROUP BY 1")
 def thread_summary(spark, sf_dir):
     return graph.thread_summary(Tables(spark, sf_dir).conversations.select(F.col("conv_id").alias("thread_id"), F.col("turn").alias("at"), F.col("role").alias("member")))
 

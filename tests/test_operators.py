@@ -44,7 +44,8 @@ def test_threads(spark):
 
 def test_thread_summary_puts_undated_first(spark):
     turns = spark.createDataFrame([(1, 5, "x"), (1, None, "y"), (1, 2, "z")], "thread_id long, at int, member string")
-    assert rows(graph.thread_summary(turns)) == [(1, 3, 5, "y,z,x")]
+    assert rows(graph.thread_summary(turns)) == [(1, 3, 5, "y")]
+    assert [(m, n) for _, _, m, n in sorted(rows(graph.thread_order(turns)), key=lambda r: r[3])] == [("y", 1), ("z", 2), ("x", 3)]
 
 
 def test_stale_groups(spark):
