@@ -9,16 +9,21 @@ each source has within one block of its target.
 
 The target of a source of weight w and n blocks at virtual time v is min(n, w * v), and the slot is the sum of these over
 all sources. Of that, with D blocks of sources that have ended and weights W of the others, slot = D + W * v: one exact
-division for a block. The driver simulates every block but holds only one table row of GROUP blocks for each source and
-CHUNK blocks in all before they are written; it never sees documents.
+division for a block.
 
-Documents get their number within the source from hash buckets of about `bucket_docs` rows: counts of buckets are
-summed up, and rows are numbered inside a bucket. A hot source just has more buckets.
+Each slot depends on the one before, so one task of an executor makes the whole schedule in a stream and holds an entry for
+each source only; its cost is some microseconds for a block, and larger blocks make it cheaper. The driver holds one
+row for each source: its name, weight and number of blocks. Neither sees documents.
+
+Documents get their number within the source from hash buckets of about `bucket_docs` rows: counts of buckets are summed
+up, and rows are numbered inside a bucket. A hot source just has more buckets. Rows equal in doc_id, source and text are
+counted first and numbered together, so that they make no bucket hot.
 
 Every row is placed exactly once: nothing is dropped or repeated. Defined results: a null source is a source of its
-own, named by null. Sources without a target share the least weight given (or equal weights if none is given);
-targets without documents are ignored. Weights must be positive. Rows that repeat are placed each on its own. Empty
-tables give empty results.
+own, named by null; null ids are ids. Sources without a target share the least weight given (or equal weights if none is
+given); targets without documents are ignored. Weights must be positive. Rows that repeat are placed each on its own.
+Empty tables give empty results. Texts only count by their hash. Extra columns are ignored by positions() and kept by mixed()
+and with_places(), where rows equal in doc_id, source and text share the least of their places.
 """
 
 from __future__ import annotations
@@ -26,194 +31,189 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from fractions import Fraction
-from functools import reduce
-from itertools import accumulate
+from itertools import accumulate, islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..tables import by_checked_size, materialise, ship
+from .common import copies
 
 BLOCK_DOCS = 16
-CYCLE = 1000
 BUCKET_DOCS = 4096
-#: Sources that may be mixed: the driver holds up to GROUP slots for each.
-MAX_SOURCES = 10_000
-#: Blocks in a row of the plan, and in a table of it (counted by full rows).
-GROUP = 1024
-CHUNK = 1 << 20
+#: Slots in a batch that the scheduling task hands on.
+SLOTS = 1 << 16
+
+
+@dataclass(frozen=True)
+class Targets:
+    """Sources with blocks, in the order in which they end; weights as integers without a common divisor."""
 
+    names: tuple[str | None, ...]
+    weights: tuple[int, ...]
+    blocks: tuple[int, ...]
+    ended: tuple[int, ...]  # ended[k]: blocks of the first k sources
+    rates: tuple[int, ...]  # rates[k]: weights of the others
 
-def placements(blocks: Mapping[str | None, int], weights: Mapping[str | None, float]) -> Iterator[tuple[str | None, bool]]:
-    """For each slot the source whose next block stands there, and whether that is its last."""
+    @property
+    def slots(self) -> int:
+        return self.ended[-1]
+
+    def reached(self, k: int, i: int, at: int = 0) -> tuple[int, int, int]:
+        """The slot, rounded down and up, in which source k's target is i; and how many sources have ended then, `at` or more."""
+        end, w = k, self.weights[k]
+        while at < end:  # k itself ends at or after this
+            mid = (at + end) // 2
+            if self.blocks[mid] * w <= i * self.weights[mid]:
+                at = mid + 1
+            else:
+                end = mid
+        down, rest = divmod(self.rates[at] * i, w)
+        return self.ended[at] + down, self.ended[at] + down + (rest > 0), at
+
+    def order(self) -> Iterator[tuple[int, int]]:
+        """(source, block) of each slot: earliest deadline first among the blocks released."""
+        n = len(self.names)
+        done, after, ends = [0] * n, [0] * n, [0] * n
+        ready: list[tuple[int, int]] = []  # (deadline, source): one entry for each source, its next block
+        later: list[tuple[int, int, int]] = []
+        for k in range(n):
+            after[k], deadline, ends[k] = self.reached(k, 1)
+            ready.append((deadline, k))
+        heapq.heapify(ready)
+        for t in range(self.slots):
+            while later and later[0][0] <= t:
+                _, deadline, k = heapq.heappop(later)
+                heapq.heappush(ready, (deadline, k))
+            _, k = heapq.heappop(ready)
+            yield k, done[k]
+            done[k] += 1
+            if done[k] < self.blocks[k]:
+                release = after[k]
+                after[k], deadline, ends[k] = self.reached(k, done[k] + 1, ends[k])
+                heapq.heappush(later, (release, deadline, k))
+
+
+def targets(blocks: Mapping[str | None, int], weights: Mapping[str | None, float]) -> Targets:
     if any(w <= 0 for w in weights.values()):
         raise ValueError("weights must be positive")
     left = {s: n for s, n in blocks.items() if n > 0}
     least = min((w for s, w in weights.items() if s in left), default=1.0)
     exact = {s: Fraction(weights.get(s, least)) for s in left}
     unit = math.lcm(*(w.denominator for w in exact.values()))
-    names = sorted(left, key=lambda s: (exact[s] / -left[s], s is not None, s or ""))  # in the order in which they end
+    names = sorted(left, key=lambda s: (left[s] / exact[s], s is not None, s or ""))
     ws = [int(exact[s] * unit) for s in names]
-    ns = [left[s] for s in names]
-    common = math.gcd(*ws)
+    common = math.gcd(*ws) or 1
     ws = [w // common for w in ws]
-    ended = list(accumulate(ns, initial=0))
-    rates = list(accumulate(reversed(ws), initial=0))[::-1]  # rates[k]: weights of names[k:]
-    order = sorted(range(len(names)), key=lambda k: (names[k] is not None, names[k] or ""))
-    rank = {k: r for r, k in enumerate(order)}
-    segment = [0] * len(names)
-
-    def reached(k: int, i: int) -> tuple[int, int]:
-        """The slot, rounded down and up, in which the k-th source's target is i."""
-        at, end, w = segment[k], k, ws[k]
-        while at < end:  # the sources that end before; the k-th itself ends at or after this
-            mid = (at + end) // 2
-            if ns[mid] * w <= i * ws[mid]:
-                at = mid + 1
-            else:
-                end = mid
-        segment[k] = at
-        down, rest = divmod(rates[at] * i, w)
-        return ended[at] + down, ended[at] + down + (rest > 0)
-
-    ready, later = [], []  # one entry for each source: its next block
-    done = [0] * len(names)
-    after = [0] * len(names)
-    for k in range(len(names)):
-        after[k], deadline = reached(k, 1)
-        ready.append((deadline, rank[k], k))
-    heapq.heapify(ready)
-    for t in range(ended[-1]):
-        while later and later[0][0] <= t:
-            _, deadline, r, k = heapq.heappop(later)
-            heapq.heappush(ready, (deadline, r, k))
-        _, r, k = heapq.heappop(ready)
-        done[k] += 1
-        yield names[k], done[k] == ns[k]
-        if done[k] < ns[k]:
-            release = after[k]
-            after[k], deadline = reached(k, done[k] + 1)
-            heapq.heappush(later, (release, deadline, r, k))
-
-
-@dataclass
-class Phase:
-    """`length` slots from `start` on: for each source placed in them, its blocks before and after, and its slots from `start`."""
-
-    start: int
-    length: int = 0
-    before: dict = field(default_factory=dict)
-    upto: dict = field(default_factory=dict)
-    slots: dict = field(default_factory=dict)
-
-
-def schedule(blocks: Mapping[str | None, int], weights: Mapping[str | None, float], cycle: int = CYCLE) -> list[Phase]:
-    """The placements in phases of `cycle` slots at most; where a source ends, so does a phase."""
-    phases: list[Phase] = []
-    done: dict = {}
-    phase = Phase(0)
-    for s, last in placements(blocks, weights):
-        phase.before.setdefault(s, done.get(s, 0))
-        phase.slots.setdefault(s, []).append(phase.length)
-        phase.upto[s] = done[s] = done.get(s, 0) + 1
-        phase.length += 1
-        if last or phase.length == cycle:
-            phases.append(phase)
-            phase = Phase(phase.start + phase.length)
-    return phases
-
-
-def numbered(docs: DataFrame, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
-    """(doc_id, source, nth): rows numbered from 0 within their source, in an order drawn by hash of doc_id."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"))
-    ids = ids.withColumn("draw", F.xxhash64("doc_id", F.lit("mix")))
-    sizes = ids.groupBy("source").agg(F.count("*").alias("n"))
-    ids = ids.join(F.broadcast(sizes.select(F.col("source").alias("s"), F.ceil(F.col("n") / bucket_docs).alias("buckets")).limit(MAX_SOURCES)), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    ids = materialise(ids.select("doc_id", "source", "draw", F.floor((F.shiftrightunsigned("draw", 1) / F.lit(float(1 << 63))) * F.col("buckets")).cast("long").alias("bucket")), "draws")
-    counts = ids.groupBy("source", "bucket").agg(F.count("*").alias("n"))
-    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("source", "bucket").orderBy("draw", "doc_id")
-    rows = ids.withColumn("i", F.row_number().over(inside) - 1)
-    placed = rows.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    return placed.select("doc_id", "source", (F.col("offset") + F.col("i")).cast("long").alias("nth"))
-
-
-_PLAN = T.StructType([T.StructField("p_source", T.StringType()), T.StructField("p_group", T.LongType(), False), T.StructField("slots", T.ArrayType(T.LongType(), False), False)])
-
-
-def _plan(spark: SparkSession, blocks: Mapping[str | None, int], weights: Mapping[str | None, float]) -> DataFrame:
-    """(p_source, p_group, slots): for each source and GROUP of its blocks their slots, in tables of about CHUNK blocks."""
-    open_: dict = {}
-    groups: dict = {}
-    full: list = []
-    tables = []
-    for t, (s, last) in enumerate(placements(blocks, weights)):
-        slots = open_.setdefault(s, [])
-        slots.append(t)
-        if last or len(slots) == GROUP:
-            full.append((s, groups.get(s, 0), open_.pop(s)))
-            groups[s] = groups.get(s, 0) + 1
-            if len(full) * GROUP >= CHUNK:
-                tables.append(materialise(spark.createDataFrame(full, _PLAN), "plan"))
-                full = []
-    tables.append(spark.createDataFrame(full, _PLAN))
-    return reduce(DataFrame.unionByName, tables)
-
-
-def positions(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_docs: int = BLOCK_DOCS, cycle: int = CYCLE) -> DataFrame:
-    """doc_id, source, block (from 0 in the source), slot (of the whole schedule), position (a total order of rows).
-
-    The schedule is the same whatever `cycle` is: that only cuts schedule()'s phases.
-    """
-    spark = docs.sparkSession
-    ship(spark)
-    sizes = {r["source"]: r["n"] for r in docs.groupBy(F.col("source").cast("string").alias("source")).agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()}
-    if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    blocks = {s: -(-n // block_docs) for s, n in sizes.items()}
-    table = _plan(spark, blocks, weights or {})
-    rows = numbered(docs).withColumn("block", F.floor(F.col("nth") / block_docs).cast("long"))
-    on = F.col("source").eqNullSafe(F.col("p_source")) & (F.floor(F.col("block") / GROUP).cast("long") == F.col("p_group"))
-    slot = F.element_at("slots", (F.col("block") % GROUP + 1).cast("int"))
-    out = rows.join(by_checked_size(table, sum(blocks.values())), on).withColumn("slot", slot.cast("long"))
-    return out.select("doc_id", "source", "block", "slot", (F.col("slot") * block_docs + F.col("nth") % block_docs).alias("position"))
+    ns = [left[s] for s in names]
+    return Targets(tuple(names), tuple(ws), tuple(ns), tuple(accumulate(ns, initial=0)), tuple(list(accumulate(reversed(ws), initial=0))[::-1]))
+
+
+def plan(spark: SparkSession, of: Targets) -> DataFrame:
+    """(p_source, p_block, slot) for every block, as a table."""
+    shared = spark.sparkContext.broadcast(of)  # a row for each source
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            mine = shared.value
+            slots = mine.order()
+            for at in range(0, mine.slots, SLOTS):
+                rows = list(islice(slots, SLOTS))
+                columns = [pa.array([mine.names[k] for k, _ in rows], pa.string()), pa.array([b for _, b in rows], pa.int64()), pa.array(range(at, at + len(rows)), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["p_source", "p_block", "slot"])
 
-def default_weights(docs: DataFrame, power: float = 0.7) -> dict[str | None, float]:
-    """Target weights by tempered size: a source of n documents weighs n ** power, so large sources count less than their share."""
-    rows = docs.groupBy(F.col("source").cast("string").alias("source")).agg(F.count("*").alias("n")).limit(MAX_SOURCES).collect()
-    return {r["source"]: float(r["n"]) ** power for r in rows}
+    return materialise(spark.range(0, 1, 1, 1).mapInArrow(run, "p_source string, p_block long, slot long"), "plan")
 
 
-def places(docs: DataFrame, weights: Mapping[str | None, float] | None = None) -> DataFrame:
-    """(__mix_id, __mix_at), as a table: each doc_id's place in the schedule; rows that repeat one share the least.
+def source_sizes(docs: DataFrame) -> dict[str | None, int]:
+    """Rows by source: one entry for each source reaches the driver."""
+    return {r["source"]: r["n"] for r in docs.groupBy(F.col("source").cast("string").alias("source")).agg(F.count("*").alias("n")).toLocalIterator()}
 
-    It follows from doc_id and source alone, so the same rows have the same places however they are stored.
+
+def _text_key(docs: DataFrame):
+    return F.xxhash64("text") if "text" in docs.columns else F.lit(0).cast("long")
+
+
+def numbered(docs: DataFrame, sizes: Mapping[str | None, int], bucket_docs: int = BUCKET_DOCS) -> DataFrame:
+    """(doc_id, source, h, same, nth): distinct rows, how often each occurs, and its number (from 0) in the source; a row that
+    occurs n times has n numbers from nth on. The order is drawn by hash and is the same however the rows are stored."""
+    spark = docs.sparkSession
+    keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _text_key(docs).alias("h"))
+    keys = keys.groupBy("doc_id", "source", "h").agg(F.count("*").alias("same")).withColumn("draw", F.xxhash64("doc_id", "h", F.lit("mix")))
+    buckets = spark.createDataFrame([(s, -(-n // bucket_docs)) for s, n in sizes.items()], "s string, buckets long")
+    keys = keys.join(by_checked_size(buckets, len(sizes), 256), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    place = F.floor((F.shiftrightunsigned("draw", 1) / F.lit(float(1 << 63))) * F.col("buckets")).cast("long")
+    keys = materialise(keys.select("doc_id", "source", "h", "same", "draw", F.least(place, F.col("buckets") - 1).alias("bucket")), "draws")
+    counts = keys.groupBy("source", "bucket").agg(F.sum("same").alias("n"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    earlier = F.sum("n").over(before(Window.partitionBy("source").orderBy("bucket")))  # a row for each bucket
+    offsets = counts.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(earlier, F.lit(0)).alias("offset"))
+    inside = F.sum("same").over(before(Window.partitionBy("source", "bucket").orderBy("draw", "doc_id", "h")))
+    placed = keys.withColumn("i", F.coalesce(inside, F.lit(0))).join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+    return placed.select("doc_id", "source", "h", "same", (F.col("offset") + F.col("i")).cast("long").alias("nth"))
+
+
+def _positioned(rows: DataFrame, sizes: Mapping[str | None, int], weights: Mapping[str | None, float], block_docs: int) -> DataFrame:
+    """rows (source, nth, ...) with block, slot and position."""
+    table = plan(rows.sparkSession, targets({s: -(-n // block_docs) for s, n in sizes.items()}, weights))
+    rows = rows.withColumn("block", F.floor(F.col("nth") / block_docs).cast("long"))
+    out = rows.join(table, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("block") == F.col("p_block")))
+    return out.withColumn("position", F.col("slot") * block_docs + F.col("nth") % block_docs).drop("p_source", "p_block")
+
+
+def tempered(sizes: Mapping[str | None, int], power: float = 0.7) -> dict[str | None, float]:
+    """Default targets: a source of n documents weighs n ** power, so large sources count less than their share."""
+    return {s: float(n) ** power for s, n in sizes.items()}
+
+
+def positions(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """doc_id, source, block (from 0 in the source), slot (of the whole schedule), position (a total order of rows)."""
+    ship(docs.sparkSession)
+    sizes = source_sizes(docs)
+    rows = copies(numbered(docs, sizes), "same", "copy").withColumn("nth", F.col("nth") + F.col("copy"))
+    out = _positioned(rows, sizes, weights or tempered(sizes), block_docs)
+    return out.select("doc_id", "source", "block", "slot", "position")
+
+
+def places(docs: DataFrame, weights: Mapping[str | None, float] | None = None) -> tuple[DataFrame, int, int]:
+    """(__mix_id, __mix_source, __mix_text, __mix_at) as a table, its rows, and the end of all positions.
+
+    A row's place follows from doc_id, source and text alone, so the same rows have the same places however they are stored.
     """
-    return materialise(positions(docs, weights or default_weights(docs)).groupBy(F.col("doc_id").alias("__mix_id")).agg(F.min("position").alias("__mix_at")), "positions")
+    ship(docs.sparkSession)
+    sizes = source_sizes(docs)
+    out = _positioned(numbered(docs, sizes), sizes, weights or tempered(sizes), BLOCK_DOCS)
+    out = materialise(out.select(F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_source"), F.col("h").alias("__mix_text"), F.col("position").alias("__mix_at")), "places")
+    return out, out.count(), sum(-(-n // BLOCK_DOCS) for n in sizes.values()) * BLOCK_DOCS
+
+
+def _placed(rows: DataFrame, text_key, order: DataFrame, n: int) -> DataFrame:
+    on = rows["doc_id"].cast("long").eqNullSafe(F.col("__mix_id")) & (text_key == F.col("__mix_text")) & rows["source"].cast("string").eqNullSafe(F.col("__mix_source"))
+    return rows.join(by_checked_size(order, n), on).drop("__mix_id", "__mix_source", "__mix_text")
 
 
 def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None) -> DataFrame:
-    """All rows of docs with their columns, in mixed order: range-partitioned and sorted by their place in the schedule.
+    """All rows of docs with their columns, in mixed order: dealt to partitions and sorted by their place in the schedule.
 
     A table written of it is not read back in that order; with_places() gives the place as a column.
     """
-    order = places(docs, weights)
-    placed = docs.join(order, docs["doc_id"].cast("long").eqNullSafe(F.col("__mix_id")))
-    return placed.repartitionByRange(F.col("__mix_at")).sortWithinPartitions("__mix_at").drop("__mix_id", "__mix_at")
+    order, n, end = places(docs, weights)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = _placed(docs, _text_key(docs), order, n)
+    part = F.floor(F.col("__mix_at") / F.lit(max(1, end)) * parts).cast("int")  # places are dense: equal ranges have equal rows
+    return placed.repartitionById(parts, part).sortWithinPartitions("__mix_at").drop("__mix_at")
 
 
-def with_places(rows: DataFrame, docs: DataFrame, weights: Mapping[str | None, float] | None = None) -> DataFrame:
-    """All columns of rows, whose doc_ids are those of docs, and `position`: the place in the schedule of docs."""
-    order = places(docs, weights)
-    placed = rows.join(by_checked_size(order, order.count()), rows["doc_id"].cast("long").eqNullSafe(F.col("__mix_id")))
-    return placed.withColumn("position", F.col("__mix_at")).drop("__mix_id", "__mix_at")
+def with_places(rows: DataFrame, docs: DataFrame, text_key: str, weights: Mapping[str | None, float] | None = None) -> DataFrame:
+    """All columns of rows but text_key, and `position`: the place in the schedule of docs. rows: doc_id, source, text_key
+    (xxhash64 of the text) and others, a row for each row of docs."""
+    order, n, _ = places(docs, weights)
+    return _placed(rows, rows[text_key], order, n).withColumnRenamed("__mix_at", "position").drop(text_key)
 
 
 def mixing_query(docs: DataFrame) -> DataFrame:
     """doc_id, source, block, slot, position: one row for each row of docs."""
-    return positions(docs, default_weights(docs))
+    return positions(docs)
