@@ -11,7 +11,9 @@ there are no hot buckets and no caps. Equal fingerprints meet before the search
 iterative component search as a table.
 
 Defined results: null texts count as empty; texts without a word get fingerprint zero, which links like any other.
-A null doc_id never names a component unless all of a component's ids are null. Repeated rows get one row each.
+A null doc_id never names a component unless all of a component's ids are null. Repeated rows get one row each, and rows that
+share a doc_id but not their text are told apart by a hash of the text. Empty tables give empty results. Extra columns are
+ignored by classes() and kept by survivors().
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from ..tables import by_checked_size, materialise, ship
+from .common import text_or_empty
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -55,16 +58,20 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(votes * 2 > len(starts), bitorder="little").tobytes(), "little")
 
 
+def _text_hash():
+    return F.xxhash64(text_or_empty())
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) for each row; fp as a signed long."""
+    """(doc_id, h, fp) for each row: a hash of the text, and the fingerprint as a signed long."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps, pa.int64())], ["doc_id", "h", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _text_hash().alias("h")).mapInArrow(run, "doc_id long, h long, fp long")
 
 
 def _key(table: int, fp: str) -> str:
@@ -95,20 +102,32 @@ def links(nodes: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of docs."""
+    """(doc_id, h, fp, component_id) for each row of docs."""
     table = materialise(fingerprints(docs), "fingerprints")
-    nodes = materialise(table.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    roots = components(links(nodes.where("node is not null")))
-    named = nodes.join(roots, "node", "left").select(F.col("fp").alias("f"), F.coalesce("root", "node").alias("component_id"))
-    return table.join(named, table["fp"] == named["f"]).select("doc_id", "fp", "component_id")
+    nodes = materialise(table.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    roots = components(links(nodes.select("fp", F.col("fp").alias("node"))))
+    named = materialise(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "named")
+    ids = named.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"))
+    named = named.join(ids, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id")
+    return table.join(named, table["fp"] == named["f"]).select("doc_id", "h", "fp", "component_id")
 
 
 def survivors(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay: of each component the smallest doc_id; all columns are kept."""
-    gone = classes(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__near_id")).distinct()
-    gone = materialise(gone, "near")
-    n = gone.count()
-    return docs if not n else docs.join(by_checked_size(gone, n), docs["doc_id"].cast("long") == F.col("__near_id"), "left_anti")
+    """The rows of docs that stay, with all columns: of each component one, that of the smallest doc_id, and of its texts that of least hash."""
+    rows = materialise(classes(docs).select("doc_id", "h", "component_id"), "classes")
+    each = rows.groupBy("component_id", "doc_id", "h").agg(F.count("*").alias("n"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "h")
+    sizes = rows.groupBy(F.col("component_id").alias("c")).agg(F.count("*").alias("size"), F.min(order).alias("first")).where("size > 1")
+    fates = each.join(sizes, F.col("component_id").eqNullSafe(F.col("c"))).select(F.col("doc_id").alias("__near_id"), F.col("h").alias("__near_text"), "n", order.eqNullSafe(F.col("first")).alias("stays"))
+    fates = materialise(fates, "fates")
+    gone, again = fates.where("NOT stays OR n > 1").drop("n", "stays"), fates.where("stays AND n > 1").drop("n", "stays")
+    on = docs["doc_id"].cast("long").eqNullSafe(F.col("__near_id")) & (_text_hash() == F.col("__near_text"))
+    n_gone, n_again = gone.count(), again.count()
+    stay = docs if not n_gone else docs.join(by_checked_size(gone, n_gone), on, "left_anti")
+    if n_again:  # rows that repeat id and text: one of each
+        one = docs.join(by_checked_size(again, n_again), on, "left_semi").withColumn("__near_text", text_or_empty()).dropDuplicates(["doc_id", "__near_text"])
+        stay = stay.unionByName(one.drop("__near_text"))
+    return stay
 
 
 def simhash_query(docs: DataFrame) -> DataFrame:
