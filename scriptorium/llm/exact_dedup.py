@@ -1,12 +1,14 @@
 """Exact dedup by two passes: a counting Bloom filter names the possibly repeated hashes, and only their rows shuffle.
 
 Pass 1 counts, for each cell of the filter, whether no key, one or more than one fell into it. Tasks send the cells of
-their rows in blobs, a segment of the filter at a time; each segment is summed on its own and comes back as one bit for
-each cell: "hit at least twice". Pass 2 tests each row's key against these bits. A row with a cell hit only once has
-no equal anywhere and passes straight through; the rest, repeats and a few false positives, are grouped exactly.
+their rows in blobs, a segment of the filter at a time and each cell twice at most, so that a text copied any number of
+times costs a task no more than one copied twice. Each segment is summed on its own and comes back as one bit for each
+cell: "hit at least twice". Pass 2 tests each row's key against these bits. A row with a cell hit only once has no equal
+anywhere and passes straight through; the rest, repeats and a few false positives, are grouped exactly.
 
-The filter has BITS_PER_KEY cells for a row up to MAX_BITS (32 MB of bits, the bound of what is broadcast). Beyond
-that it fills up and more rows take the exact way; results stay the same, and what shuffles is digests, not texts.
+The filter has BITS_PER_KEY cells for a row. It is made in slices of SLICE_BITS (32 MB of bits, the bound of what is
+broadcast): keys are dealt to slices by hash, digests are written to a folder for each slice, and both passes run slice by
+slice, each reading its own folder only. So single rows pass through at any size alike.
 
 Defined results: null texts count as empty ones. Of equal texts, the row with the largest doc_id stays (a null id is
 less than any). Rows that repeat both id and text are one more copy each; one of them stays. Empty tables give empty
@@ -24,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import by_checked_size, materialise, ship
-from .common import text_or_empty
+from ..tables import by_checked_size, materialise, new_path, ship
+from .common import copies, text_or_empty
 
 BITS_PER_KEY = 16
 HASHES = 3
 MIN_BITS = 1 << 16
-MAX_BITS = 1 << 28
+SLICE_BITS = 1 << 28
 #: Cells' hits that one task sums at most, on average.
 HITS_PER_SEGMENT = 1 << 22
 #: Rows that a task of pass 1 gathers before it sends their cells.
@@ -50,7 +52,12 @@ def cells(keys: np.ndarray, bits: int) -> np.ndarray:
 
 
 def filter_bits(rows: int) -> int:
-    return min(MAX_BITS, max(MIN_BITS, 1 << max(1, rows * BITS_PER_KEY - 1).bit_length()))
+    """Cells of the filter of one slice that holds so many rows."""
+    return min(SLICE_BITS, max(MIN_BITS, 1 << max(1, rows * BITS_PER_KEY - 1).bit_length()))
+
+
+def slices(rows: int) -> int:
+    return max(1, -(-rows * BITS_PER_KEY // SLICE_BITS))
 
 
 def repeated_cells(keys: DataFrame, rows: int) -> np.ndarray:
@@ -63,7 +70,8 @@ def repeated_cells(keys: DataFrame, rows: int) -> np.ndarray:
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def send(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             if parts:
-                all_cells = np.sort(np.concatenate([cells(p, bits).ravel() for p in parts]))
+                all_cells, often = np.unique(np.concatenate([cells(p, bits).ravel() for p in parts]), return_counts=True)
+                all_cells = np.repeat(all_cells, np.minimum(often, 2))
                 edges = np.searchsorted(all_cells, np.arange(segments + 1, dtype=np.uint64) * np.uint64(width))
                 full = np.flatnonzero(np.diff(edges))
                 blobs = [(all_cells[edges[s] : edges[s + 1]] - np.uint64(s * width)).astype(np.uint32).tobytes() for s in full]
@@ -91,9 +99,8 @@ def repeated_cells(keys: DataFrame, rows: int) -> np.ndarray:
     return out
 
 
-def maybe_repeated(df: DataFrame, key: str, packed: np.ndarray):
-    """Pass 2: a boolean column, false only where no other row of pass 1 has this key."""
-    shared = df.sparkSession.sparkContext.broadcast(packed)  # MAX_BITS / 8 bytes at most
+def maybe_repeated(shared, key: str):
+    """Pass 2: a boolean column, false only where no other row of pass 1 has this key. shared: the broadcast bits of pass 1."""
 
     @F.pandas_udf("boolean")
     def test(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -109,19 +116,34 @@ def _digest(text: str = "text"):
     return F.unhex(F.sha2(text_or_empty(text).cast("binary"), 256))
 
 
+def tested(docs: DataFrame) -> DataFrame:
+    """doc_id, digest, maybe, as a table: one row for each row of docs, whose texts are read once; `maybe` is false only for texts that occur once."""
+    spark = docs.sparkSession
+    n = slices(docs.count())
+    key = F.xxhash64("digest")
+    path, out = new_path(spark, "digests"), new_path(spark, "tested")
+    table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest().alias("digest")).withColumn("slice", F.pmod(F.xxhash64("digest", F.lit("slice")), F.lit(n)).cast("int"))
+    table.write.partitionBy("slice").parquet(path)
+    table = spark.read.schema("doc_id long, digest binary, slice int").parquet(path)
+    for k in range(n):
+        mine = table.where(F.col("slice") == k).select("doc_id", "digest", key.alias("key"))
+        shared = spark.sparkContext.broadcast(repeated_cells(mine.select("key"), mine.count()))  # SLICE_BITS / 8 bytes at most
+        mine.select("doc_id", "digest", maybe_repeated(shared, "key").alias("maybe")).write.mode("append").parquet(out)
+        shared.destroy()
+    return spark.read.schema("doc_id long, digest binary, maybe boolean").parquet(out)
+
+
 def decisions(docs: DataFrame) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, digest (32 bytes): one row for each row of docs, whose texts are read once."""
-    table = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest().alias("digest")), "digests")
-    table = table.withColumn("key", F.xxhash64("digest"))
-    rows = table.count()
-    tested = table.withColumn("maybe", maybe_repeated(table, "key", repeated_cells(table.select("key"), rows)))
-    alone = tested.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
-
-    shared = materialise(tested.where("maybe").groupBy("digest", "doc_id").agg(F.count("*").alias("same")), "candidates")
+    """doc_id, keep_id, group_size, kept, digest (32 bytes): one row for each row of docs."""
+    ship(docs.sparkSession)
+    tests = tested(docs)
+    alone = tests.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
+
+    shared = materialise(tests.where("maybe").groupBy("digest", "doc_id").agg(F.count("*").alias("same")), "candidates")
     groups = materialise(shared.groupBy(F.col("digest").alias("d")).agg(F.max("doc_id").alias("keep_id"), F.sum("same").alias("group_size")), "groups")
     placed = shared.join(groups, shared["digest"] == groups["d"])  # a hot digest is split by the engine's skew join
-    placed = placed.select("doc_id", "keep_id", "group_size", "digest", F.explode(F.sequence(F.lit(1).cast("long"), "same")).alias("copy"))
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
+    placed = copies(placed.select("doc_id", "keep_id", "group_size", "digest", "same"), "same", "copy")
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 0)
     return alone.unionByName(placed.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "digest"))
 
 
