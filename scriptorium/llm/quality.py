@@ -4,7 +4,9 @@ A text is compressed twice, in blocks, with a dictionary trained on good and wit
 difference of the two sizes, normalised by the text's length and by the smaller size, says which corpus it is nearer
 to. A logistic curve fitted on labelled rows that neither dictionary saw turns this into a probability.
 
-Only the model, at most 2 x dict_bytes plus a few numbers, travels to the executors.
+Whole texts count throughout. A dictionary learns from blocks drawn from all of its sampled texts; the curve is fitted on
+sizes of whole texts, which executors compute by the scorer itself. The driver holds SAMPLE_BLOCKS blocks of each class and
+four numbers for a row. Only the model, at most 2 x DICT_BYTES plus a few numbers, travels to the executors.
 
 Defined results: null and empty texts are scored as the empty text (its features are 0). With no labelled rows, or
 rows of one class only, the score is that class's share, or 0.5 without any. Repeated rows get equal scores. Labels
@@ -14,23 +16,23 @@ that disagree for one document are all used. Extra columns are ignored by score(
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import ship
+from ..tables import by_checked_size, materialise, ship
 from .common import crc_mod, text_or_empty
 
 #: Labelled rows of each class that train a dictionary, and as many again that fit the curve, at most.
 SAMPLE_ROWS = 1500
-#: Characters of a sampled text that a dictionary learns from; scores always use whole texts.
-SAMPLE_CHARS = 4096
+#: Blocks of sampled texts, of BLOCK bytes at most, that train a dictionary: those of least hash, from anywhere in the whole texts.
+SAMPLE_BLOCKS = 12_000
 DICT_BYTES = 112_640
 LEVEL = 3
 #: Bytes compressed at a time.
@@ -61,10 +63,10 @@ def _sizer(good: bytes, bad: bytes):
 
 def _features(good: int, bad: int, n: int) -> np.ndarray:
     if not n:
-        return np.array([1.0, 0.0, 0.0, 0.0, 0.0])
+        return np.array([1.0, 0.0, 0.0, 0.0])
     by_length = 100 * (bad - good) / n
     by_size = (bad - good) / max(1, min(good, bad))
-    return np.array([1.0, by_length, 10 * by_size, max(-2.0, min(2.0, by_length)), 10 * good / n])
+    return np.array([1.0, by_length, 10 * by_size, max(-2.0, min(2.0, by_length))])
 
 
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -80,38 +82,77 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """Learns from labelled rows outside the held-out fold (crc32 of doc_id mod 4 is 2): those of least hash, 2 x rows of a class at most.
+def blocks(data: bytes, size: int = BLOCK) -> Iterator[bytes]:
+    """The bytes in blocks of whole lines; a line longer than a block is cut."""
+    held = b""
+    for line in data.split(b"\n"):
+        if held and len(held) + len(line) >= size:
+            yield held
+            held = b""
+        held = held + b"\n" + line if held else line
+        while len(held) > size:
+            yield held[:size]
+            held = held[size:]
+    if held:
+        yield held
 
-    The ids are chosen on the narrow label table first; only the chosen rows' texts reach the driver.
+
+def chosen(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(doc_id, text, y, half), as a table: the labelled rows to learn from, outside the held-out fold (crc32 of doc_id mod 4 is 2).
+
+    Of each class, the 2 x rows ids of least hash are drawn on the narrow label table; `half` halves them by hash.
     """
-    ship(docs.sparkSession)
-    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod("doc_id", 4) != 2)).select("doc_id", "quality").distinct()
-    order = F.xxhash64("doc_id")
-    chosen = [known.where(F.col("quality") == q).orderBy(order, "doc_id").limit(2 * rows) for q in (1, 0)]
-    chosen = chosen[0].unionByName(chosen[1]).select(F.col("doc_id").alias("__id"), F.col("quality").alias("__q"))
-    texts = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).where(F.col("text").isNotNull())
-    got = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("__id", "__q", "text").distinct().toPandas()  # bounded: 4 x rows
-    got = got.sort_values(["__id", "text"]).reset_index(drop=True)
-    data = [t.encode() for t in got["text"]]
-    y = got["__q"].to_numpy(float)
-    if len(set(y)) < 2:
-        return Model(b"", b"", (float(y.mean()) if len(y) else 0.5,))
-    half = np.zeros(len(y), bool)
-    for q in (0, 1):
-        half[np.flatnonzero(y == q)[::2]] = True
-    dicts = _dictionaries([d for d, h in zip(data, half, strict=True) if h], y[half])
-    sizes = _sizer(*dicts)
-    rest = np.flatnonzero(~half) if len(set(y[~half])) == 2 else np.arange(len(y))
-    x = np.array([_features(*sizes(data[i]), len(data[i])) for i in rest])
-    return Model(*dicts, tuple(_fit(x, y[rest])))
-
-
-def _dictionaries(data: list[bytes], y: np.ndarray) -> list[bytes]:
-    """Of good and of bad samples. Lines that several samples hold are boilerplate, not a sign of either, and are left out."""
-    often = Counter(line for d in data for line in set(d.split(b"\n")))
-    own = [b"\n".join(line for line in d.split(b"\n") if often[line] == 1) for d in data]
-    return [_dictionary([d for d, k in zip(own, y, strict=True) if k == q and d]) for q in (1, 0)]
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod("doc_id", 4) != 2)).select(F.col("doc_id").cast("long").alias("doc_id"), "quality").distinct()
+    known = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * rows) for q in (1, 0)]
+    known = known[0].unionByName(known[1]).select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("y"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL AND doc_id IS NOT NULL")
+    got = texts.join(by_checked_size(known, 4 * rows), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "y").distinct()
+    return materialise(got.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 0), "labelled")
+
+
+def _dictionaries(sample: DataFrame, n: int) -> list[bytes]:
+    """Of good and of bad samples: n blocks of each at most. Lines that several texts hold are boilerplate, not a sign of either, and are left out."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text, y in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                parts = list(blocks(text.encode()))
+                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(parts), pa.int64()), pa.array(parts, pa.binary()), pa.array([y] * len(parts), pa.int32())], ["doc_id", "block", "y"])
+
+    every = sample.select("doc_id", "text", "y").mapInArrow(cut, "doc_id long, block binary, y int").distinct()
+    every = every.withColumn("draw", F.xxhash64("doc_id", "block"))
+    drawn = [every.where(F.col("y") == q).orderBy("draw").limit(n).collect() for q in (1, 0)]  # n x BLOCK bytes
+    holders: dict[bytes, int] = {}
+    shared = set()
+    for r in (r for rs in drawn for r in rs):
+        shared |= {line for line in bytes(r["block"]).split(b"\n") if holders.setdefault(line, r["doc_id"]) != r["doc_id"]}
+    own = lambda data: b"\n".join(line for line in data.split(b"\n") if line not in shared)
+    return [_dictionary([d for r in rs if (d := own(bytes(r["block"])))]) for rs in drawn]
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, sample_blocks: int = SAMPLE_BLOCKS) -> Model:
+    """Learns from labelled rows outside the held-out fold; the bounds are those of chosen() and SAMPLE_BLOCKS."""
+    spark = docs.sparkSession
+    ship(spark)
+    sample = chosen(docs, labels, rows)
+    y = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if len(y) < 2:
+        return Model(b"", b"", (float(next(iter(y))) if y else 0.5,))
+    halves = {(r["half"], r["y"]) for r in sample.select("half", "y").distinct().collect()}
+    both = lambda h: {(h, 0), (h, 1)} <= halves
+    dicts = _dictionaries(sample.where("half") if both(True) else sample, sample_blocks)
+    rest = sample.where("NOT half") if both(False) else sample
+    shared = spark.sparkContext.broadcast(tuple(dicts))
+
+    @F.pandas_udf("array<long>")
+    def sized(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        sizes = _sizer(*shared.value)
+        for texts in batches:
+            yield pd.Series([[*sizes(d), len(d)] for d in map(str.encode, texts)])
+
+    got = rest.select("doc_id", "y", sized("text").alias("s")).collect()  # four numbers a row
+    got = sorted((r["doc_id"], *r["s"], r["y"]) for r in got)
+    return Model(*dicts, tuple(_fit(np.array([_features(*g[1:4]) for g in got]), np.array([g[4] for g in got], float))))
 
 
 def _dictionary(samples: list[bytes]) -> bytes:
