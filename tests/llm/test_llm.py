@@ -138,6 +138,14 @@ def test_simhash(docs, corpus, odd, empty):
     assert sorted(r.doc_id for r in simhash.survivors(odd).collect()) == [1, 4, 5, 6, 7, 8]
 
 
+def test_rows_that_share_an_id_are_told_apart(spark):
+    a, b = prose(300, random.Random(3)), prose(300, random.Random(4))
+    near = next(t for k in range(300) if simhash.fingerprint(t := " ".join([*a.split()[:k], "zzz", *a.split()[k + 1 :]])) != simhash.fingerprint(a) and (simhash.fingerprint(t) ^ simhash.fingerprint(a)).bit_count() <= 2)
+    df = spark.createDataFrame([(1, a), (9, near), (9, b), (None, b + " x y z"), (None, a), (7, "z"), (7, "z")], "doc_id long, text string")
+    left = [(r.doc_id, r.text) for r in simhash.survivors(df).collect()]
+    assert (1, a) in left and (9, b) in left and (9, near) not in left and (None, a) not in left and left.count((7, "z")) == 1
+
+
 def test_simhash_links_every_pair_of_distance_two(spark):
     rng = random.Random(8)
     base = [rng.getrandbits(64) for _ in range(6)] + [0, (1 << 64) - 1]
@@ -173,11 +181,23 @@ def test_exact_dedup(docs, corpus, odd, empty):
     assert exact_dedup.exact_dedup_query(empty).count() == 0 and exact_dedup.survivors(empty).count() == 0
 
 
-def test_a_full_filter_changes_nothing(docs, monkeypatch):
+def test_slices_of_the_filter_change_nothing(spark, docs, monkeypatch):
     want = sorted(map(tuple, exact_dedup.exact_dedup_query(docs).collect()))
     monkeypatch.setattr(exact_dedup, "MIN_BITS", 64)
-    monkeypatch.setattr(exact_dedup, "MAX_BITS", 64)
+    monkeypatch.setattr(exact_dedup, "SLICE_BITS", 1024)
     assert sorted(map(tuple, exact_dedup.exact_dedup_query(docs).collect())) == want
+    assert exact_dedup.slices(docs.count()) > 1
+    single = spark.range(2000).selectExpr("id AS doc_id", "concat('text ', id) AS text")  # 32 slices that are as full as one: single rows still pass
+    assert exact_dedup.tested(single).where("maybe").count() < 60
+
+
+def test_copies_of_one_text_send_few_cells(spark):
+    keys = spark.range(0, 50_000, 1, 4).selectExpr("IF(id % 10 = 0, id, 7) AS key")
+    packed = exact_dedup.repeated_cells(keys, 50_000)
+    assert np.unpackbits(packed).sum() < 5000  # the cells of one key, and accidents of 5,000 others
+    shared = spark.sparkContext.broadcast(packed)
+    out = keys.withColumn("maybe", exact_dedup.maybe_repeated(shared, "key"))
+    assert out.where("key = 7 AND NOT maybe").count() == 0 and out.where("key <> 7 AND maybe").count() < 50
 
 
 def test_null_ids_in_exact_dedup(spark):
@@ -263,40 +283,29 @@ def test_secrets(spark, docs, odd, empty):
 # 6
 
 
+def schedule(blocks, weights):
+    of = mixing.targets(blocks, weights)
+    return [(of.names[k], i) for k, i in of.order()]
+
+
 @pytest.mark.parametrize(("blocks", "weights"), [({"a": 50, "b": 30, None: 20}, {"a": 1, "b": 2, None: 3}), ({"a": 1}, {}), ({"a": 7, "b": 900}, {"a": 5, "b": 1}), ({}, {}), ({"a": 3, "b": 0, "c": 4}, {"a": 1e-9, "c": 1})])
-def test_schedule_stays_within_a_block(blocks, weights):
-    phases = mixing.schedule(blocks, weights, cycle=60)
-    placed = {}
-    for p in phases:
-        for s, slots in p.slots.items():
-            for i in range(p.before[s], p.upto[s]):
-                k = i - p.before[s]
-                at = p.start + k // len(slots) * p.length + slots[k % len(slots)]
-                assert at not in placed
-                placed[at] = (s, i, p)
-    assert sorted(placed) == list(range(sum(blocks.values())))
-    for s, n in blocks.items():
-        assert [i for _, (x, i, _) in sorted(placed.items()) if x == s] == list(range(n))
-    for p in phases:  # deviation within each phase
-        for s, slots in p.slots.items():
-            done = 0
-            for t in range(p.start, p.start + p.length):
-                if t not in placed or placed[t][2] is not p:
-                    break
-                done += placed[t][0] == s
-                assert abs(done - (t + 1 - p.start) * len(slots) / p.length) < 1
-
-
-@pytest.mark.parametrize("weights", [[0.7, 0.2, 0.05, 0.05], [1 / 3] + [2 / 3 / 500] * 500, [float(n) ** 0.7 for n in range(1, 1200)]])
-def test_schedule_holds_the_targets_over_many_cycles(weights):
-    blocks = {f"s{k:04}": 20_000 if w == max(weights) else 60 + k % 7 for k, w in enumerate(weights)}
+def test_every_block_is_placed_once_and_in_order(blocks, weights):
+    placed = schedule(blocks, weights)
+    assert all([i for x, i in placed if x == s] == list(range(n)) for s, n in blocks.items())
+    assert len(placed) == sum(blocks.values())
+
+
+@pytest.mark.parametrize("weights", [[0.7, 0.2, 0.05, 0.05], [0.9, 0.1], [1 / 3] + [2 / 3 / 500] * 500, [float(n) ** 0.7 for n in range(1, 400)]])
+def test_schedule_holds_the_given_targets_at_every_slot(weights):
+    blocks = {f"s{k:04}": (100_000 if len(weights) < 10 else 12_000) if w == max(weights) else 60 + 50 * (k % 7) for k, w in enumerate(weights)}
     exact = {s: Fraction(w) for s, w in zip(blocks, weights, strict=True)}
     ends = sorted(blocks, key=lambda s: blocks[s] / exact[s])
     done, now, virtual, rate, gone = dict.fromkeys(blocks, 0), 0, Fraction(0), sum(exact.values()), 0
-    for t, (s, last) in enumerate(mixing.placements(blocks, {s: w for s, w in zip(blocks, weights, strict=True)}), 1):
+    step = 1 if len(weights) < 10 else 53
+    for t, (s, i) in enumerate(schedule(blocks, {s: w for s, w in zip(blocks, weights, strict=True)}), 1):
+        assert i == done[s]
         done[s] += 1
-        assert last == (done[s] == blocks[s])
-        if t % 97 and not last:
+        if t > 12_000 or t % step:
             continue
         while now < len(ends) and virtual + (t - gone) / rate >= blocks[ends[now]] / exact[ends[now]]:
             at = blocks[ends[now]] / exact[ends[now]]
@@ -308,19 +317,26 @@ def test_schedule_holds_the_targets_over_many_cycles(weights):
     assert done == blocks
 
 
-def test_positions_over_many_groups(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "GROUP", 3)
-    monkeypatch.setattr(mixing, "CHUNK", 12)
+def test_a_hundred_thousand_blocks_stay_within_a_block_of_their_targets():
+    weights = {"a": 0.7, "b": 0.2, "c": 0.1}
+    exact = {s: Fraction(w) / sum(map(Fraction, weights.values())) for s, w in weights.items()}
+    done = dict.fromkeys(weights, 0)
+    for t, (s, _) in enumerate(schedule({"a": 70_000, "b": 20_000, "c": 10_000}, weights), 1):
+        done[s] += 1
+        assert all(abs(done[x] - w * t) < 1 for x, w in exact.items()) or t > 99_990
+
+
+def test_positions_follow_the_schedule(spark):
     weights = {"a": 0.7, "b": 0.25, None: 0.05}
     rows = [(i, "a" if i % 10 < 6 else "b" if i % 10 < 9 else None) for i in range(400)]
     got = mixing.positions(spark.createDataFrame(rows, "doc_id long, source string"), weights, block_docs=2).collect()
     assert sorted(r.doc_id for r in got) == list(range(400)) and len({r.position for r in got}) == 400
-    placed = [s for s, _ in mixing.placements({"a": 120, "b": 60, None: 20}, weights)]
+    placed = [s for s, _ in schedule({"a": 120, "b": 60, None: 20}, weights)]
     assert [s for s, *_ in sorted({(r.source, r.slot) for r in got}, key=lambda x: x[1])] == placed
 
 
-def test_mixing(docs, corpus, odd, empty):
-    got = mixing.positions(docs, {"s0": 3, "s1": 1, "s2": 1}, block_docs=4, cycle=20).collect()
+def test_mixing(spark, docs, corpus, odd, empty):
+    got = mixing.positions(docs, {"s0": 3, "s1": 1, "s2": 1}, block_docs=4).collect()
     assert sorted(r.doc_id for r in got) == [i for i, *_ in corpus]
     assert len({r.position for r in got}) == len(corpus)
     first = [r.source for r in sorted(got, key=lambda r: r.position)[:60]]
@@ -328,14 +344,19 @@ def test_mixing(docs, corpus, odd, empty):
     assert mixing.mixing_query(odd).count() == len(ODD) and mixing.mixing_query(empty).count() == 0
     out = mixing.mixed(odd)
     assert out.columns == odd.columns and sorted(r.doc_id for r in out.collect()) == sorted(r[0] for r in ODD)
+    keyed = mixing.with_places(odd.withColumn("tk", F.xxhash64("text")), odd, "tk").collect()
+    assert len(keyed) == len(ODD) and len({r.position for r in keyed}) == len(ODD) - 1  # two rows are equal
     with pytest.raises(ValueError):
-        mixing.schedule({"a": 1}, {"a": -1})
+        mixing.targets({"a": 1}, {"a": -1})
 
 
-def test_numbers_within_sources_are_whole(docs, corpus):
-    got = mixing.numbered(docs, bucket_docs=7).collect()
+def test_numbers_within_sources_are_whole(spark, docs, corpus):
+    got = mixing.copies(mixing.numbered(docs, mixing.source_sizes(docs), bucket_docs=7), "same", "copy").collect()
     for s in ("s0", "s1", "s2"):
-        assert sorted(r.nth for r in got if r.source == s) == list(range(sum(x[3] == s for x in corpus)))
+        assert sorted(r.nth + r.copy for r in got if r.source == s) == list(range(sum(x[3] == s for x in corpus)))
+    same = spark.createDataFrame([(None, "one text", "s")] * 9000 + [(None, "another", "s"), (1, "another", "s")], "doc_id long, text string, source string")
+    got = mixing.positions(same).collect()  # null ids, and one row in most of the table
+    assert len(got) == 9002 and len({r.position for r in got}) == 9002
 
 
 # 7

@@ -5,6 +5,7 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 pipeline = pytest.importorskip("corpus_pipeline")
@@ -62,7 +63,7 @@ def test_stages(spark):
 
 def test_encoded_rows_carry_their_place_in_the_schedule(spark, tmp_path):
     docs = documents(spark, DATA)
-    wanted = {r.doc_id: r.position for r in mixing.positions(docs, mixing.default_weights(docs)).collect()}
+    wanted = {r.doc_id: r.position for r in mixing.positions(docs).collect()}
     mixed = pipeline.mix_sources(spark, docs, DATA)
     for k, share in enumerate((0, 3, 5, 40, 100)):  # files of unequal size
         mixed.where(f"pmod(hash(doc_id), 100) >= {share}" + (f" AND pmod(hash(doc_id), 100) < {(3, 5, 40, 100)[k]}" if k < 4 else "")).coalesce(1).write.mode("append").parquet(str(tmp_path / "mixed"))
@@ -71,7 +72,30 @@ def test_encoded_rows_carry_their_place_in_the_schedule(spark, tmp_path):
     assert {r.doc_id: r.position for r in rows} == wanted and len(rows) == len(set(wanted.values())) == docs.count()
     blocks = {s: -(-n // mixing.BLOCK_DOCS) for s, n in ((r.source, r["count"]) for r in docs.groupBy("source").count().collect())}
     slots = sorted({(r.position // mixing.BLOCK_DOCS, r.source) for r in rows}, key=lambda x: x[0])
-    assert [s for _, s in slots] == [s for s, _ in mixing.placements(blocks, mixing.default_weights(docs))]
+    of = mixing.targets(blocks, mixing.tempered(mixing.source_sizes(docs)))
+    assert [s for _, s in slots] == [of.names[k] for k, _ in of.order()]
+
+
+def test_odd_rows_in_every_stage(spark):
+    """Nulls in every column, empty and very long texts, ties, repeats, one id with two texts, clashing extra columns."""
+    text = "some words of a text that is like others in this table of odd rows and goes on for a while longer"
+    long = "word " * 60_000
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, text, "en", "a", 1), (3, text, "en", "a", 1), (4, text, None, None, 1), (4, long, "fr", "b", 1), (None, "no id at all here", "en", "a", 1), (None, "no id at all here", "en", "a", 1), (None, "another without id", "de", None, 1), (5, "x", "en", "a", 1)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit(1) for c in ("fp", "h", "slot", "block", "position", "token_ids", "digest", "kept", "n", "same", "score", "copy")})
+    steps = dict(pipeline.STAGES)
+    out = steps["quality_filter"](spark, odd, DATA)
+    assert out.columns == odd.columns and out.count() <= len(rows)
+    single = steps["drop_exact_copies"](spark, odd, DATA)
+    want = [(None, "another without id"), (None, "no id at all here"), (2, ""), (4, text), (4, long), (5, "x")]
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1] or "")
+    assert single.columns == odd.columns and sorted(((r.doc_id, r.text) for r in single.collect()), key=key) == want
+    apart = steps["drop_near_copies"](spark, odd, DATA)
+    want = [(None, "another without id"), (None, "no id at all here"), (1, ""), (3, text), (4, long), (5, "x")]
+    assert apart.columns == odd.columns and sorted(((r.doc_id, r.text or "") for r in apart.collect()), key=key) == want
+    mixed = steps["mix_sources"](spark, odd, DATA)
+    assert mixed.columns == odd.columns and sorted((r.text or "" for r in mixed.collect())) == sorted(r[1] or "" for r in rows)
+    ids = steps["encode"](spark, odd, DATA).collect()
+    assert len(ids) == len(rows) and len({r.position for r in ids}) == len(rows) - 2 and sum(r.n_tokens == 0 for r in ids) == 2
 
 
 def test_empty_documents(spark):
