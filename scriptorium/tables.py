@@ -44,10 +44,10 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialise(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+    """Write df as a table in the shared folder, with a folder for each value of `by`, and read it back: cuts lineage, survives lost executors."""
     path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scriptorium_path = path
     return out
