@@ -464,11 +464,11 @@ def test_passages_are_every_shared_word(spark):
     rng = random.Random(21)
     fresh = lambda n: [f"{rng.getrandbits(60):x}" for _ in range(n)]
     texts = []
-    words = passages.PASSAGE_WORDS
-    for n in (words - 1, 50, 51, 55, 60, 100) * 12:
+    words = passages.WORDS
+    for n in (words - 1, words, words + 1, 55, 60, 100) * 12:
         passage = fresh(n) if n != 100 else (fresh(7) * 20)[:100]  # the last are repetitive
         texts += [fresh(rng.randrange(40)) + passage + fresh(rng.randrange(40)) for _ in range(2)]
-    texts += [fresh(30) + ["same"] * 80 + fresh(30), fresh(9) + ["same"] * 50 + fresh(9)]
+    texts += [fresh(30) + ["same"] * 80 + fresh(30), fresh(9) + ["same"] * 60 + fresh(9)]
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
     seen = {}
     for i, w in enumerate(texts):
@@ -483,16 +483,16 @@ def test_passages_are_every_shared_word(spark):
                 if i > min(docs_of):
                     late.setdefault(i, set()).update(range(k, k + words))
     got = passages.passages_query(docs).collect()
-    assert len(want) > 120 and covered(got) == want and covered(got, False) == late
+    assert len(want) > 110 and covered(got) == want and covered(got, False) == late
 
 
 def test_a_run_keeps_only_what_is_first_seen_in_it(spark):
     rng = random.Random(22)
     first, second = ([f"{rng.getrandbits(60):x}" for _ in range(60)] for _ in range(2))
-    texts = [first, first + second, first + second, second[:40]]
+    texts = [first, first + second, first + second, second[:55]]
     rows = passages.passages_query(spark.createDataFrame([(i, " ".join(["own", str(i), *w])) for i, w in enumerate(texts)], "doc_id long, text string")).collect()
     assert covered(rows, True) == {0: set(range(2, 62)), 1: set(range(62, 122))}
-    assert covered(rows, False) == {1: set(range(2, 62)), 2: set(range(2, 122)), 3: set(range(2, 42))}
+    assert covered(rows, False) == {1: set(range(2, 62)), 2: set(range(2, 122)), 3: set(range(2, 57))}
 
 
 def test_paragraph_links_make_up_all_components(spark):
@@ -530,6 +530,50 @@ def test_paragraph_links_make_up_all_components(spark):
     assert sorted(map(sorted, got.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
 
 
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    rng = random.Random(23)
+    fresh = lambda n: " ".join(f"{rng.getrandbits(60):x}" for _ in range(n))
+    a, b, near_a = fresh(60), fresh(60), fresh(70)
+    changed = near_a.split(" ")
+    changed[30] = "other"
+    texts = [(1, "x " + a), (2, "y " + a), (2, "z " + b), (3, "w " + b), (4, near_a), (5, " ".join(changed)), (5, fresh(80)), (6, a + " q"), (6, a + " q")]
+    rows = passages.passages_query(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    clusters = {}
+    for r in rows:
+        if r.kind == "passage":
+            clusters.setdefault(r.cluster_id, []).append(r.doc_id)
+    assert sorted(map(sorted, clusters.values())) == [[1, 2, 6], [2, 3]]
+    clusters = {}
+    for r in rows:
+        if r.kind == "paragraph":
+            clusters.setdefault(r.cluster_id, []).append(r.doc_id)
+    assert sorted(map(sorted, clusters.values())) == [[1, 2, 6], [2, 3], [4, 5]]
+
+
+def test_short_lines_make_up_paragraphs():
+    ends = [10, 30, 55, 55, 60, 140, 150, 150, 210]
+    assert passages.paragraphs(ends) == [(0, 55), (60, 140), (150, 210)] and passages.paragraphs([20, 40]) == [] and passages.paragraphs([20, 60]) == [(0, 60)]
+
+
+def test_unlike_paragraphs_of_a_bucket_still_find_their_own(spark):
+    rng = random.Random(24)
+    texts = []
+    stock = [f"{rng.getrandbits(60):x}" for _ in range(60)]
+    for _ in range(12):  # families that share stock words (similarity under 0.8), each of several near texts
+        own = [f"{rng.getrandbits(60):x}" for _ in range(34)]
+        for _ in range(5):
+            w = stock + own
+            w[rng.randrange(62, 90)] = f"{rng.getrandbits(60):x}"
+            texts.append(" ".join(w))
+    rows = passages.passages_query(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    families = {}
+    for r in rows:
+        if r.kind == "paragraph":
+            families.setdefault(r.cluster_id, set()).add(r.doc_id // 5)
+    want = sum(passages.near(texts[i], texts[j], 0.8) for i in range(60) for j in range(i))
+    assert want > 60 and len([r for r in rows if r.kind == "paragraph"]) >= 57 and all(len(f) == 1 for f in families.values()) and len(families) == 12
+
+
 def test_bands_reach_the_recall():
     for recall in (0.9, 0.99, 0.999):
         n = passages.bands(0.8, recall)
