@@ -265,9 +265,13 @@ def plain_base(t):
     return sorted(spans + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32])
 
 
-def test_secrets(spark, docs, odd, empty):
-    ratios = secret_scan.train(docs)
-    found = secret_scan.scan(spark.createDataFrame(SECRETS, "doc_id long, text string, x string"), ratios)
+@pytest.fixture(scope="module")
+def secrets_model(docs):
+    return secret_scan.train(docs)
+
+
+def test_secrets(spark, docs, odd, empty, secrets_model):
+    found = secret_scan.scan(spark.createDataFrame(SECRETS, "doc_id long, text string, x string"), secrets_model)
     rows = {r.doc_id: r for r in found.collect()}
     for i, t, _ in SECRETS:
         assert [(s.s, s.k, s.e) for s in rows[i].base] == plain_base(t or "")
@@ -276,10 +280,51 @@ def test_secrets(spark, docs, odd, empty):
     out = {r.doc_id: r for r in secret_scan.secrets_query(odd).collect()}
     assert out[1].spans == "" and out[1].base_sha256 == hashlib.sha256(b"").hexdigest() and out[1].n_hex == 0
     assert secret_scan.secrets_query(empty).count() == 0
-    plan = secret_scan.scan(docs, ratios)._jdf.queryExecution().executedPlan().toString()
+    plan = secret_scan.scan(docs, secrets_model)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
 
 
+def plain_added(t, model):
+    """The Markov spans, one token after the other."""
+    code = lambda c: secret_scan.ALPHABET.find(c) + 1
+    high = lambda x: sum(model.ratios[code(a) * secret_scan.CLASSES + code(b)] for a, b in zip(x, x[1:], strict=False)) >= model.threshold
+    spans = []
+    for m in re.finditer(secret_scan.TOKEN, t):
+        if high(m[0]):
+            spans.append((m.start(), 3, m.end()))
+        else:
+            spans += [(m.start() + p.start(), 3, m.start() + p.end()) for p in re.finditer("[^/=_+-]+", m[0]) if secret_scan.MIN_LENGTH <= len(p[0]) < len(m[0]) and high(p[0])]
+    base = plain_base(t)
+    return [x for x in spans if not any(b[0] < x[2] and x[0] < b[2] for b in base)]
+
+
+def test_markov_spans_are_the_plain_ones(spark, secrets_model):
+    rng = random.Random(31)
+    chars = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    draw = lambda n, of=chars: "".join(rng.choice(of) for _ in range(n))
+    parts = [lambda: prose(rng.randint(1, 6), rng), lambda: draw(rng.randint(8, 40)), lambda: "/".join((prose(1, rng), prose(1, rng), draw(24))), lambda: "token=" + draw(12), lambda: draw(40, "0123456789abcdef"), lambda: "é" + draw(20) + "=", lambda: "AKIA" + draw(14, chars[26:]), lambda: "_".join(WORDS[:3])]
+    texts = [" ".join(rng.choice(parts)() for _ in range(rng.randint(0, 60))) for _ in range(60)]
+    texts += [" ".join(draw(16) if k % 3 else "password: " + draw(9) for k in range(3000)), draw(40_000), "a_" * 20_000]  # many matches, one long string, many parts
+    got = {r.doc_id: r for r in secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), secrets_model).collect()}
+    for i, t in enumerate(texts):
+        assert [tuple(x) for x in got[i].base] == plain_base(t) and [tuple(x) for x in got[i].added] == plain_added(t, secrets_model)
+
+
+def test_markov_spans_find_random_strings_and_leave_words(spark):
+    rng = random.Random(32)
+    words = "international organisation administration characteristics representative understanding communication responsibility environmental development".split()
+    text = [(i, " ".join(rng.choice(words) for _ in range(40))) for i in range(100)]
+    model = secret_scan.train(spark.createDataFrame(text, "doc_id long, text string"))
+    plain = " ".join(f"{a}_{b} {a}{b.title()} /{a}/{b} {a.upper()}-{b.upper()} {a}={b}" for a in words for b in words) + " 2024-05-17 20240517123456 +33612345678 01-42-68-53-00"
+    assert [list(r.added) for r in secret_scan.scan(spark.createDataFrame([(0, plain)], "doc_id long, text string"), model).collect()] == [[]]
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    alphabets = [lower, upper, lower + upper, lower + upper + digits, upper + "234567", lower + digits]
+    rows = [(i, n, "see " + "".join(rng.choice(a) for _ in range(n)) + " there") for i, (a, n) in enumerate((a, n) for a in alphabets for n in (16, 20, 32) for _ in range(100))]
+    found = {r.doc_id for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, n int, text string"), model).where("size(added) + size(base) > 0").select("doc_id").collect()}
+    recall = {n: sum(i in found for i, m, _ in rows if m == n) / sum(m == n for _, m, _ in rows) for n in (16, 20, 32)}
+    assert recall[16] >= 0.95 and recall[20] >= 0.98 and recall[32] >= 0.99
+
+
 # 6
 
 
