@@ -28,6 +28,11 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets_query(documents(spark, sf_dir))
 
 
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op5_secrets that SQL can express."""
+    return secret_scan.base_query(documents(spark, sf_dir))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_query(documents(spark, sf_dir))
 
@@ -48,7 +53,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir))
 
 
-_ALL = (op1_langid, op2_simhash, op3_exact_dedup, op4_mtree, op5_secrets, op6_mixing, op7_byte_bpe, op8_passages, op9_quality, op10_token_counts)
+_ALL = (op1_langid, op2_simhash, op3_exact_dedup, op4_mtree, op5_secrets, op6_mixing, op7_byte_bpe, op8_passages, op9_quality, op10_token_counts, secret_base_spans)
 QUERIES = {f.__name__: f for f in _ALL}
 
-ORACLES = {"op3_exact_dedup": exact_dedup.ORACLE, "op4_mtree": mtree.ORACLE}
+ORACLES = {"op3_exact_dedup": exact_dedup.ORACLE, "op4_mtree": mtree.ORACLE, "secret_base_spans": secret_scan.BASE_ORACLE}

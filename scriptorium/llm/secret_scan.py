@@ -175,7 +175,7 @@ def _written(spans: str) -> Column:
     return F.expr(f"array_join(transform({spans}, x -> concat(element_at(array('assign', 'access', 'hex', 'random'), x.k + 1), ':', x.s, ':', x.e)), ',')")
 
 
-def base_columns(found: DataFrame) -> list[Column]:
+def base_columns() -> list[Column]:
     n = lambda k: F.expr(f"cast(size(filter(base, x -> x.k = {k})) AS long)")
     return [F.col("doc_id"), n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(_written("base").cast("binary"), 256).alias("base_sha256")]
 
@@ -183,4 +183,26 @@ def base_columns(found: DataFrame) -> list[Column]:
 def secrets_query(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans: one row for each row of docs."""
     found = scan(docs, train(docs)).withColumn("every", F.array_sort(F.concat("base", "added")))
-    return found.select(*base_columns(found), _written("every").alias("spans"))
+    return found.select(*base_columns(), _written("every").alias("spans"))
+
+
+def base_query(docs: DataFrame) -> DataFrame:
+    """The base columns of secrets_query() alone: doc_id, n_assign, n_access, n_hex, base_sha256."""
+    return scan(docs, train(docs)).select(*base_columns())
+
+
+def _any_case(words: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in words)
+
+
+_ASSIGN_SQL = ASSIGN.replace("(?i)password|passwd|secret|token|api_?key", _any_case("password|passwd|secret|token|api_?key")).replace("'", "''")
+
+BASE_ORACLE = f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({' UNION ALL '.join(f"SELECT r, {k} AS k, unnest(regexp_extract_all(t, '{p}')) AS hit, unnest(list_slice(string_split_regex(t, '{p}'), 1, len(regexp_extract_all(t, '{p}')))) AS gap, unnest(range(len(regexp_extract_all(t, '{p}')))) AS i FROM t" for k, p in enumerate((_ASSIGN_SQL, ACCESS, HEX)))}),
+p AS (SELECT r, k, hit, CAST(sum(length(gap) + length(hit)) OVER (PARTITION BY r, k ORDER BY i) AS BIGINT) AS e FROM m),
+f AS (SELECT r, k, e - length(hit) AS s, e FROM p WHERE k <> 0 OR length(regexp_extract(hit, '{_ASSIGN_SQL}', 2)) >= {ASSIGN_LENGTH})
+SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+  sha256(coalesce(string_agg(['assign', 'access', 'hex'][k + 1] || ':' || s || ':' || e, ',' ORDER BY s, k), '')) AS base_sha256
+FROM t LEFT JOIN f USING (r) GROUP BY t.r, doc_id
+"""
