@@ -9,7 +9,9 @@ until it agrees with the old one over the longest token's length. Work is linear
 Text is first cut by the tokenizer's pattern; each match is encoded on its own. Pieces recur, so their ids are kept
 in a cache of bounded size for each worker.
 
-Defined results: null texts count as empty; empty texts have no ids, and hashes of the empty string.
+Defined results: null texts count as empty; empty texts have no ids, and hashes of the empty string. Repeated rows are encoded
+each; texts may be of any length. Empty tables give empty results. round_trip() ignores extra columns; encoded() and decoded()
+keep them, but for one named `token_ids` or `decoded`, which they replace.
 """
 
 from __future__ import annotations
@@ -289,11 +291,10 @@ _ROUND_TRIP = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField
 def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """All columns of docs and `token_ids`, an array of ints."""
     ship(docs.sparkSession)
-    path, pattern = path or default_path(), pattern or default_pattern()
 
     @F.pandas_udf("array<int>")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        e = encoder(path, pattern)
+        e = encoder(path or default_path(), pattern or default_pattern())  # the executor's own file, unless a path is given
         for texts in batches:
             yield pd.Series([e.encode(t) for t in texts])
 
@@ -303,10 +304,9 @@ def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None
 def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: one row for each row of docs."""
     ship(docs.sparkSession)
-    path, pattern = path or default_path(), pattern or default_pattern()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path, pattern)
+        e = encoder(path or default_path(), pattern or default_pattern())
         sha = lambda data: hashlib.sha256(data).hexdigest()
         for batch in batches:
             n, of_ids, of_text = [], [], []
@@ -323,11 +323,10 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
 def decoded(frame: DataFrame, path: str | None = None) -> DataFrame:
     """All columns of a frame with `token_ids`, and `decoded`, the bytes they stand for; null ids give null."""
     ship(frame.sparkSession)
-    path = path or default_path()
 
     @F.pandas_udf("binary")
     def back(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        of = encoder(path, default_pattern()).v.bytes_of
+        of = encoder(path or default_path(), default_pattern()).v.bytes_of
         for rows in batches:
             yield pd.Series([None if ids is None else b"".join(of[int(i)] for i in ids) for ids in rows], dtype=object)
 

@@ -2,7 +2,7 @@
 
 A tokenizer of this kind first takes out its special strings, then cuts the rest into words by a pattern that looks
 ahead but never back, then encodes each word on its own. So two encodings that both start a word at the same place go on
-alike from there, as long as both see what follows. Texts over `huge` characters are encoded in chunks that
+alike from there, as long as both see what follows. Texts over `huge` characters (some 7 % of those of the check tables) are encoded in chunks that
 overlap by `overlap` characters, with offsets and word numbers. A place counts as a proven common boundary if
 
 - both chunks start a word there,
@@ -13,7 +13,10 @@ overlap by `overlap` characters, with offsets and word numbers. A place counts a
 The earlier chunk counts up to it, the later one from it on. Where there is no such place, the later chunk starts
 further back and the earlier one ends further on, twice as far each time, until the two are aligned or are one.
 
-Defined results: null texts count as empty; empty texts have no bytes and no tokens. Repeated rows are counted each.
+Other texts are counted by words, whose counts a worker keeps.
+
+Defined results: null texts count as empty; empty texts have no bytes and no tokens. Repeated rows are counted each. Empty
+tables give empty results. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,9 +34,9 @@ from ..tables import ship
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
 #: Characters beyond which a text is encoded in chunks, and their size and first overlap.
-HUGE = 1 << 16
-CHUNK = 1 << 15
-OVERLAP = 1 << 9
+HUGE = 1 << 13
+CHUNK = 1 << 13
+OVERLAP = 1 << 8
 #: More than the longest special string and than the pattern looks ahead.
 MARGIN = 64
 #: Texts encoded in one call of the library, by characters.
@@ -58,13 +61,13 @@ def load(path: str):
 
 
 class Chunk:
-    """text[start:stop], encoded: for each word its start in the whole text and the tokens before it."""
+    """text[start:stop], encoded: for each word its start in the whole text and the tokens before it; the text's own start counts as one."""
 
     def __init__(self, exact, text: str, start: int, stop: int):
         self.start, self.stop = start, min(stop, len(text))
         e = exact.encode(text[start : self.stop], add_special_tokens=False)
         self.tokens = len(e.ids)
-        self.words: dict[int, int] = {}
+        self.words: dict[int, int] = {} if start else {0: 0}
         last: object = self
         for i, (w, (at, _)) in enumerate(zip(e.word_ids, e.offsets, strict=True)):
             if w != last or w is None:
@@ -90,11 +93,11 @@ def count(tokenizers, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) ->
             wide *= 2
             here = Chunk(exact, text, here.start, here.stop + wide)
             if here.stop == len(text):
-                return total + here.tokens - here.words.get(begin, 0)
+                return total + here.tokens - here.words[begin]
         cut = max(common)
-        total += here.words[cut] - here.words.get(begin, 0)
+        total += here.words[cut] - here.words[begin]
         here, begin = then, cut
-    return total + here.tokens - here.words.get(begin, 0)
+    return total + here.tokens - here.words[begin]
 
 
 class Counter:
@@ -160,10 +163,9 @@ def default_path() -> str:
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, huge: int = HUGE, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit: one row for each row of docs."""
     ship(docs.sparkSession)
-    path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = counter(path)
+        own = counter(path or default_path())  # the executor's own file, unless a path is given
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             n = counts(own, texts, huge, chunk, overlap)

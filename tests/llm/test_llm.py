@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -675,3 +676,15 @@ def test_splices_and_words_are_exact():
     assert counter.count(texts) == want
     for t, n in zip(texts, want, strict=True):
         assert token_counts.count(both, t, chunk=200, overlap=90) == n
+
+
+def test_resynchronisation_on_the_tables(spark):
+    pytest.importorskip("public_tokenizers")
+    path = "/root/testdata/sf0.001/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    docs = spark.read.parquet(path)
+    own = token_counts.load(token_counts.default_path())[0]
+    want = {r.doc_id: len(own.encode(r.text or "", add_special_tokens=False).ids) for r in docs.collect()}
+    for huge, chunk, overlap in ((token_counts.HUGE, token_counts.CHUNK, token_counts.OVERLAP), (200, 300, 90), (500, 1000, 256)):
+        assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs, huge=huge, chunk=chunk, overlap=overlap).collect()} == want
