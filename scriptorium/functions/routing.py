@@ -92,3 +92,24 @@ def token_cost(model: Column, input_tokens: Column, output_tokens: Column, cache
         return out.otherwise(DEFAULT_PRICE[k])
 
     return ((zero(input_tokens) + zero(cache_write) * CACHE_WRITE + zero(cache_read) * CACHE_READ) * price(0) + zero(output_tokens) * price(1)) / 1_000_000
+
+
+#: Words of a comment over a list that name the category of its entries.
+SECTIONS = (("code", "code"), ("photo", "photos"), ("app", "bundle"), ("bundle", "bundle"))
+
+
+def section_category(lines: list[str], entry: str, reach: int = 4) -> str | None:
+    """The category that the nearest comment above a list entry names; None if the entry is missing, or no comment is near.
+
+    lines: those of a configuration file; its list entries begin with "- ". Only `reach` lines are looked at.
+    """
+    at = next((i for i, line in enumerate(lines) if line.strip().startswith("- ") and line.strip()[2:].strip("\"' ") == entry), None)
+    if at is None:
+        return None
+    for line in reversed(lines[max(0, at - reach) : at]):
+        comment = line.strip().lower()
+        if comment.startswith("#"):
+            for word, category in SECTIONS:
+                if word in comment:
+                    return category
+    return None

@@ -78,6 +78,11 @@ def tier_shares(choices: DataFrame) -> DataFrame:
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 
+def reason_counts(choices: DataFrame) -> DataFrame:
+    """(tier, reason, n): why models were chosen."""
+    return choices.groupBy("tier", F.coalesce("reason", F.lit("?")).alias("reason")).agg(F.count("*").alias("n"))
+
+
 def borderline(scored: DataFrame, capture: int, ignore: int, key: str, k: int = 10) -> DataFrame:
     """The k lowest captured of score <= capture + 1, and the k highest ignored of score >= ignore - 1; ties by key."""
     low = scored.where((F.col("band") == "captured") & (F.col("score") <= capture + 1)).orderBy("score", key).limit(k)
@@ -201,3 +206,8 @@ def tree_counts(files: DataFrame, documents: Sequence[str], code: Sequence[str],
         F.count("*").alias("total"),
         F.count_if(F.col("name").rlike("(?i)^(?:IMG_|DSC_|DCIM|DSCN|P10|GOPR)")).alias("photo_names"),
     )
+
+
+def config_sizes(config: Mapping[str, Sequence[str]]) -> dict[str, int]:
+    """How many entries each list of a configuration has."""
+    return {name: len(values) for name, values in config.items() if isinstance(values, list | tuple)}

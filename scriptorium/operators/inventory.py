@@ -140,3 +140,47 @@ def latest_digests(files: DataFrame) -> DataFrame:
     rows = files.withColumn("kind", synthesis_kind(F.col("path"))).where("kind IS NOT NULL")
     order = Window.partitionBy("kind").orderBy(F.when(F.col("kind") == "digest", F.col("path")).desc(), "path")
     return rows.withColumn("nth", F.row_number().over(order).cast("long"))
+
+
+def stored_files(files: DataFrame) -> DataFrame:
+    """(path, file_type) of every row."""
+    return files.select("path", "file_type")
+
+
+def newer_notes(notes: DataFrame, mirrors: DataFrame) -> DataFrame:
+    """(year, n): notes without a mirror, or newer than it, by times alone; contents are not read. notes, mirrors: path, mtime."""
+    m = mirrors.select(F.col("path").alias("__p"), F.col("mtime").alias("__m"))
+    todo = notes.join(m, F.col("path") == F.col("__p"), "left").where(F.col("__p").isNull() | (F.col("mtime") > F.col("__m")))
+    return todo.groupBy(F.year("mtime").alias("year")).agg(F.count("*").alias("n"))
+
+
+def messages_of(transcriptions: DataFrame, content: Column, summaries: DataFrame) -> DataFrame:
+    """Mail transcriptions (path) as messages for the scorer, with the path of their summary (the last by path), if any."""
+    field = lambda k: text.front_matter_field(content, k)
+    names = text.attachment_list(content)
+    rows = transcriptions.select(
+        "path",
+        field("from").alias("from_addr"),
+        field("to").alias("to"),
+        field("cc").alias("cc"),
+        field("subject").alias("subject"),
+        field("folder").alias("folder"),
+        field("message-id").alias("message_id"),
+        text.body(content).alias("body"),
+        F.lit(False).alias("is_html_only"),
+        F.create_map().cast("map<string,string>").alias("headers"),
+        F.transform(names, lambda n: F.struct(n.alias("filename"), F.lit("").alias("content_type"), F.lit(0).cast("long").alias("size"))).alias("attachments"),
+    )
+    by_source = summaries.groupBy(F.col("source").alias("__s")).agg(F.max("path").alias("summary"))
+    return rows.join(by_source, F.col("path") == F.col("__s"), "left").drop("__s")
+
+
+def empty_directories(directories: DataFrame, files: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """(dir, depth): directories (dir) with no file (path) and no kept directory below them, deepest first. What to remove, as a plan's rows."""
+    parts = lambda c: F.split(c, "/")
+    ups = lambda c, least: F.when(F.size(parts(c)) > least, F.transform(F.sequence(F.lit(1), F.size(parts(c)) - least), lambda i: F.array_join(F.slice(parts(c), F.lit(1), i), "/"))).otherwise(F.array().cast("array<string>"))
+    full = files.select(F.explode(ups(F.col("path"), 1)).alias("dir"))
+    if keep:
+        kept = directories.where(F.substring_index("dir", "/", -1).isin(*keep))
+        full = full.unionByName(kept.select(F.explode(ups(F.col("dir"), 0)).alias("dir")))
+    return directories.select("dir").distinct().join(full.distinct(), "dir", "left_anti").withColumn("depth", F.size(parts(F.col("dir")))).orderBy(F.desc("depth"), "dir")

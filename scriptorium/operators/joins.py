@@ -26,6 +26,11 @@ def missing_summaries(files: DataFrame, source_type: str | None = None, since: s
     return missing(t, files.where("file_type = 'summary'"), "path", "source_path").orderBy(F.desc_nulls_last("created"), "path")
 
 
+def unorganized(summaries: DataFrame) -> DataFrame:
+    """Summaries (path, entity_type, created) that are filed under no entity, newest first, undated ones last."""
+    return summaries.where("entity_type IS NULL").orderBy(F.desc_nulls_last("created"), "path")
+
+
 def stale_groups(parts: DataFrame, wholes: DataFrame, key: str, at: str = "at", whole_at: str = "whole_at") -> DataFrame:
     """(key, at, whole_at): groups without a whole, or whose newest part is newer than it.
 
@@ -119,3 +124,14 @@ def triplets(summaries: DataFrame, transcriptions: DataFrame, originals: DataFra
     a = missing(summaries, transcriptions, "source_path", "path").select("path", F.lit("no_transcription").alias("issue"))
     b = missing(transcriptions.where("source_path IS NOT NULL"), originals, "source_path", "path").select("path", F.lit("no_original").alias("issue"))
     return a.unionByName(b)
+
+
+def referencing(documents: DataFrame, names: DataFrame, content: str = "text") -> DataFrame:
+    """(path, name): documents whose text holds a file name as a whole word of a path or link; an equi-join on the words that could be names.
+
+    A name with blanks is looked for by its last word first, and then as a whole.
+    """
+    last = F.substring_index(F.substring_index("name", "/", -1), " ", -1)
+    wanted = names.select("name", last.alias("__w")).distinct()
+    words = documents.select("path", content, F.explode(F.array_distinct(F.regexp_extract_all(content, F.lit(r"""([^\s/()\[\]"'<>]+)"""), 1))).alias("__word"))
+    return words.join(wanted, F.col("__word") == F.col("__w")).where(F.col(content).contains(F.col("name"))).select("path", "name").distinct()

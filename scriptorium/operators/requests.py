@@ -61,11 +61,37 @@ def block_text(content: Column) -> Column:
     return F.when(content.rlike(r"\A\s*\[\s*\{"), joined).otherwise(content)
 
 
+#: What a context says where there is nothing.
+NO_FILE, NO_SUMMARY = "(none yet)", "(no summary)"
+
+
 def entity_context(summaries: DataFrame, k: int = 40, max_chars: int = 1200) -> DataFrame:
-    """(entity, n, context): the k latest compact summaries of each entity, newest first. summaries: entity, date, path, meta, body."""
+    """(entity, n, context): the k latest compact summaries of each entity, newest first, undated ones last.
+
+    summaries: entity, date, path, fields (map of front matter), body. Not more than k summaries of an entity are held.
+    """
     from .windows import recent_per_group
 
     rows = recent_per_group(summaries, "entity", "date", "path", k)
-    part = F.concat(F.coalesce("meta", F.lit("")), F.lit("\n---\n"), text.compact(F.col("body"), max_chars))
+    part = F.concat(F.lit("### "), F.col("path"), F.lit("\n\n"), text.compact_summary(F.coalesce("fields", F.create_map().cast("map<string,string>")), F.col("body"), max_chars))
     ordered = F.array_sort(F.collect_list(F.struct("rank", part.alias("part"))))
     return rows.groupBy("entity").agg(F.count("*").alias("n"), F.array_join(F.transform(ordered, lambda x: x["part"]), "\n\n").alias("context"))
+
+
+def entity_requests(entities: DataFrame, contexts: DataFrame, existing: DataFrame, candidates: DataFrame, template: tuple[str, str], model: str) -> DataFrame:
+    """One request for each entity: custom_id, entity, system, user, model, estimated_tokens.
+
+    contexts: entity_context(); existing: entity, profile, timeline (texts as they are); candidates: entity, aliases,
+    relations (JSON). The template reads {{entity}}, {{profile}}, {{timeline}}, {{aliases}}, {{relations}} and {{summaries}}.
+    """
+    rows = entities.select("entity").distinct().join(contexts, "entity", "left").join(existing, "entity", "left").join(candidates, "entity", "left")
+    values = {
+        "entity": F.col("entity"),
+        "profile": F.coalesce(F.nullif("profile", F.lit("")), F.lit(NO_FILE)),
+        "timeline": F.coalesce(F.nullif("timeline", F.lit("")), F.lit(NO_FILE)),
+        "aliases": F.coalesce("aliases", F.lit("[]")),
+        "relations": F.coalesce("relations", F.lit("[]")),
+        "summaries": F.coalesce("context", F.lit(NO_SUMMARY)),
+    }
+    out = rows.select(text.short_id(F.concat(F.lit("entity:"), F.col("entity")), 16).alias("custom_id"), "entity", F.lit(template[0]).alias("system"), text.substitute(F.lit(template[1]), values).alias("user"), F.lit(model).alias("model"))
+    return out.withColumn("estimated_tokens", F.expr("cast((length(system) + length(user)) div 4 AS long)"))

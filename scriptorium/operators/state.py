@@ -84,13 +84,54 @@ def journal_row(spark: SparkSession, ts: str, component: str, operation: str, st
 
 
 def latest(journal: DataFrame, operation: str | None = None, source_type: str | None = None, k: int = 100) -> DataFrame:
-    """The k newest journal rows."""
+    """The k newest journal rows; ties by their paths."""
     out = journal
     if operation:
         out = out.where(F.col("operation") == operation)
     if source_type:
         out = out.where(F.col("source_type") == source_type)
-    return out.orderBy(F.desc("ts")).limit(k)
+    return out.orderBy(F.desc("ts"), *(c for c in ("source_path", "dest_path") if c in out.columns)).limit(k)
+
+
+def at_path(files: DataFrame, path: str) -> DataFrame:
+    """The row of one path: none or one."""
+    return files.where(F.col("path") == path).limit(1)
+
+
+def registered_hashes(files: DataFrame, hashes: DataFrame) -> DataFrame:
+    """files after hashes (path, hash, size, mtime) were registered: new paths become rows of type source, known ones keep their type."""
+    new = hashes.select("path", "hash", "size", "mtime", F.lit("source").alias("file_type"))
+    out = upsert(files.withColumn("__had", F.col("file_type")), new, "path")
+    return out.withColumn("file_type", F.coalesce("__had", "file_type")).drop("__had")
+
+
+def register_documents(done: DataFrame, files: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
+    """(files, problems) after transcriptions were registered. done: source_path, path, hash, size, mtime, birth.
+
+    A transcription outside the root is a problem, not a row. Dates come from the source's times, else its name.
+    """
+    from ..functions import dates
+
+    inside = F.col("path").startswith(root.rstrip("/") + "/") & ~F.col("path").contains("/../")
+    when = dates.source_dates(F.col("birth"), F.col("mtime"), F.col("source_path"))
+    rows = done.where(inside).withColumn("__d", when).select("path", F.lit("transcription").alias("file_type"), F.lit("document").alias("source_type"), "source_path", "hash", "size", "mtime", F.col("__d.created").alias("created"), F.col("__d.modified").alias("modified"))
+    return upsert(files, rows, "path"), done.where(~F.coalesce(inside, F.lit(False))).select("path", F.lit("outside_root").alias("reason"))
+
+
+def recovered(transcriptions: DataFrame, sources: DataFrame, extensions: Sequence[str]) -> DataFrame:
+    """(path, source_path): what to register for transcriptions that are there already; without an original, themselves."""
+    from . import filters, joins
+
+    some = transcriptions.where(filters.trackable(F.col("path")))
+    found = joins.source_candidates(some, sources, extensions)
+    return found.select("path", F.coalesce("source", "path").alias("source_path"))
+
+
+def usage_rows(usage: DataFrame, cost: Column) -> DataFrame:
+    """Usage to append, with its cost; empty usage (no tokens of any kind) leaves no row."""
+    kinds = ("input_tokens", "output_tokens", "cache_write", "cache_read")
+    some = sum((F.coalesce(F.col(k), F.lit(0)) for k in kinds), F.lit(0)) > 0
+    return usage.where(some).withColumn("cost", cost)
 
 
 def swap(new: DataFrame, path: str) -> None:

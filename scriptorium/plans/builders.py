@@ -149,3 +149,20 @@ def scope_lists(config: Mapping[str, Sequence[str]], include: str | None = None,
             out[k].append(folder)
     gone = set(map(same, moved))
     return {k: [x for x in v if same(x) not in gone] for k, v in out.items()}
+
+
+def save_attachments(attachments: DataFrame, folder: str) -> DataFrame:
+    """(action, src, dst, reason, payload): payloads under names of their own content, equal ones once. attachments: msg_hash, filename, payload."""
+    named = attachments.withColumn("dst", F.concat(F.lit(folder + "/"), attachment_name(F.col("payload"), F.col("filename"))))
+    first = named.groupBy("dst").agg(F.min(F.struct("msg_hash", "filename")).alias("f"), F.first("payload").alias("payload"))
+    return first.select(F.lit("write").alias("action"), F.concat_ws("/", "f.msg_hash", "f.filename").alias("src"), "dst", F.lit(None).cast("string").alias("reason"), "payload")
+
+
+def archive_manifest(plan: DataFrame, day: str, config_hash: str) -> DataFrame:
+    """(day, config, from, to): what an archive's manifest says, a row for each moved file; written as JSON lines beside it."""
+    return plan.where("action = 'move'").select(F.lit(day).alias("day"), F.lit(config_hash).alias("config"), F.col("src").alias("from"), F.col("dst").alias("to"))
+
+
+def obsolete_report(scored: DataFrame) -> DataFrame:
+    """(domain, n, with_summary): obsolete messages by sender."""
+    return scored.groupBy(text.domain(F.col("from_addr")).alias("domain")).agg(F.count("*").alias("n"), F.count("summary").alias("with_summary"))

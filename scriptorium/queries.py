@@ -80,7 +80,8 @@ def stale_pairs(spark, sf_dir):
 @query("SELECT d.doc_id, n_chars FROM documents d LEFT JOIN labels l USING (doc_id) WHERE quality IS NULL")
 def unorganized(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return t.documents.select("doc_id", "n_chars").join(t.labels.select("doc_id", "quality"), "doc_id", "left").where("quality IS NULL").drop("quality")
+    rows = t.documents.select(F.col("doc_id").alias("path"), F.col("n_chars").alias("created")).join(t.labels.select(F.col("doc_id").alias("path"), F.col("quality").alias("entity_type")), "path", "left")
+    return joins.unorganized(rows).select(F.col("path").alias("doc_id"), F.col("created").alias("n_chars"))
 
 
 _HREF = "href=\"([^\"]+)\""
@@ -232,8 +233,8 @@ def _scored_sql() -> str:
     fired = {
         "social_network": "dom IN ('src3')",
         "marketing_domain": "dom IN ('src4')",
-        "newsletter_header": "n_chars > 9000",
-        "html_only": "doc_id % 11 = 0",
+        "newsletter_header": "doc_id % 11 = 0",
+        "html_only": "n_chars > 9000",
         "noreply": "contains(frm, 'noreply') OR contains(frm, 'no-reply')",
         "promotional_subject": any_of("title", _RULES.promotional_subjects),
         "own_domain": "dom IN ('src1', 'src2')",
@@ -250,11 +251,9 @@ def _scored_sql() -> str:
         "marketing_address": any_of("frm", _RULES.marketing_addresses),
         "personal_sender": f"regexp_matches(frm, '{_RULES.personal_sender}') AND NOT regexp_matches(frm, '^info@') AND NOT regexp_matches(frm, 'no-?reply')",
         "newsletter_body": any_of("preview", _RULES.newsletter_bodies),
-        "cc_only": "regexp_matches(lower(coalesce(source, '')), 'src1|src2') AND NOT true",
+        "cc_only": "false",  # the recipient is of an own domain; file_queries.mail_scores has messages where it fires
         "generic_address": "regexp_matches(frm, '^info@')",
     }
-    fired["newsletter_header"], fired["html_only"] = "doc_id % 11 = 0", "n_chars > 9000"
-    fired["cc_only"] = "false"
     total = " + ".join(f"CASE WHEN {c} THEN {_RULES.weights[k]} ELSE 0 END" for k, c in fired.items())
     said = ", ".join(f"CASE WHEN {c} THEN '{k} [{_RULES.weights[k]:+d}]' END" for k, c in fired.items())
     base = f"""SELECT *, {hits} AS hits FROM (SELECT doc_id, source, lang, n_chars, lower(coalesce({_FROM}, '')) AS frm, coalesce(substr(text, 1, 80), '') AS title,
@@ -373,26 +372,35 @@ def short_ids(spark, sf_dir):
     return Tables(spark, sf_dir).pages.select("page_id", text.short_id(F.col("url")).alias("short"), text.short_id(F.col("url"), 16).alias("custom"))
 
 
-@query()
-def html_text(spark, sf_dir):
-    return Tables(spark, sf_dir).pages.select("page_id", text.strip_html(F.col("html")).alias("text"))
+_NOISE = "|".join(text.NOISE_LINES).replace("'", "''")
+_UNSIGNED = "text"
+for _p in reversed(text.SIGNATURES):  # the first in the list that occurs decides
+    _sql_p = "(?im)" + _p.replace("'", "''")
+    _UNSIGNED = f"CASE WHEN regexp_matches(text, '{_sql_p}') THEN regexp_replace(string_split_regex(text, '{_sql_p}')[1], '\\s+$', '') ELSE {_UNSIGNED} END"
 
 
-@query()
-def reply_cut(spark, sf_dir):
-    quoted = F.concat("text", F.lit("\n> quoted\n\nafter\nOn Monday someone wrote:\nold"))
-    return Tables(spark, sf_dir).conversations.select("conv_id", "turn", text.cut_replies(quoted).alias("text"))
-
-
-@query()
+@query(rf"""SELECT doc_id, CASE WHEN length(t) > 4000 THEN CASE WHEN contains(substr(t, 1, 4000), chr(10)) AND 4000 - instr(reverse(substr(t, 1, 4000)), chr(10)) > 3200 THEN substr(t, 1, 4000 - instr(reverse(substr(t, 1, 4000)), chr(10))) ELSE substr(t, 1, 4000) END || chr(10) || chr(10) || '…' ELSE t END AS text
+FROM (SELECT doc_id, regexp_replace(regexp_replace(array_to_string(list_filter(string_split({_UNSIGNED}, chr(10)), lambda l: NOT regexp_matches(l, '(?i)^\s*(?:{_NOISE})')), chr(10)), '(?m)((?:^[ \t\r\f\v]*\n){{2}})(?:^[ \t\r\f\v]*(?:\n|\z))+', '\1', 'g'), '\s+$', '') AS t FROM documents)""")
 def compress(spark, sf_dir):
     return Tables(spark, sf_dir).documents.select("doc_id", text.compress(F.col("text"), 4000).alias("text"))
 
 
-@query("""SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(lower(text), '[^a-z0-9 ]', ' ', 'g'), '[a-z0-9]+')) AS token FROM documents) GROUP BY ALL""")
+def _markdown_sql() -> str:
+    """The steps of text.MARKDOWN, one after the other, for DuckDB; its patterns know no look-ahead."""
+    out = "text"
+    for pattern, by in text.MARKDOWN:
+        plain = pattern.replace(r"(?=\n|\z)", "").replace("'", "''")
+        put = by.replace("$1", r"\1")
+        out = f"regexp_replace({out}, '{plain}', " + ("chr(10)" if put == "\n" else f"'{put}'") + ", 'g')"
+    return out
+
+
+_TOKEN = r"[\p{L}\p{M}\p{Nd}\p{Pc}'']+"
+
+
+@query(f"SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, replace(unnest(regexp_extract_all(lower({_markdown_sql()}), '{_TOKEN}')), '''', '') AS token FROM documents) WHERE token <> '' GROUP BY ALL")
 def markdown_tokens(spark, sf_dir):
-    plain = F.regexp_replace(F.lower("text"), "[^a-z0-9 ]", " ")
-    return Tables(spark, sf_dir).documents.select("doc_id", F.explode(text.markdown_tokens(plain)).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+    return Tables(spark, sf_dir).documents.select("doc_id", F.explode(text.markdown_tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
 
 
 @query("""WITH b AS (SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest(string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' ')) AS token FROM documents) GROUP BY ALL),
@@ -553,7 +561,8 @@ def cached_hash(spark, sf_dir):
 
 @query("SELECT event_id, ts, event_type FROM events WHERE event_type = 'purchase' ORDER BY ts DESC, event_id LIMIT 100")
 def latest_operations(spark, sf_dir):
-    return Tables(spark, sf_dir).events.where("event_type = 'purchase'").select("event_id", "ts", "event_type").orderBy(F.desc("ts"), "event_id").limit(100)
+    rows = Tables(spark, sf_dir).events.select("ts", F.col("event_type").alias("operation"), F.col("event_id").alias("source_path"))
+    return state.latest(rows, "purchase").select(F.col("source_path").alias("event_id"), "ts", F.col("operation").alias("event_type"))
 
 
 # Candidates, fields, manifests, requests
@@ -629,12 +638,6 @@ def compact_body(spark, sf_dir):
     return Tables(spark, sf_dir).documents.select("doc_id", text.compact(F.col("text")).alias("body"))
 
 
-@query()
-def table_rows(spark, sf_dir):
-    d = Tables(spark, sf_dir).documents
-    return markdown.suspicious(d, "doc_id", F.concat(F.lit("| a | b |\n| --- | --- |\n| 1 | |\n|  | |\n|| |\n\n"), F.col("text")))
-
-
 @query("""SELECT source AS category, CASE WHEN source LIKE 'src1%' THEN 'included' WHEN source LIKE 'src2%' THEN 'excluded' ELSE 'undecided' END AS status, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS files FROM documents GROUP BY ALL""")
 def scope_report(spark, sf_dir):
     d = Tables(spark, sf_dir).documents.select(F.col("source").alias("path"), F.col("source").alias("category"), F.col("n_chars").alias("files"))

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import routing, text
 
 
 def read(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
@@ -24,66 +20,62 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
 
 
-def _cells(line: str) -> list[str]:
-    return [c.strip() for c in line.rstrip().strip("|").split("|")]
-
-
-def tables(content: str) -> list[dict]:
-    """Pipe tables with a separator row: start and end line from 0, columns, and of each row its cells and how many are empty."""
-    lines, out, i = content.split("\n"), [], 0
-    while i + 1 < len(lines):
-        divider = lines[i + 1].strip()
-        if not (lines[i].startswith("|") and "---" in divider and re.fullmatch(r"\|[\s\-:|]+\|", divider)):
-            i += 1
-            continue
-        end = i + 2
-        while end < len(lines) and lines[end].strip().startswith("|"):
-            end += 1
-        rows = [_cells(x) for x in lines[i + 2 : end]]
-        out.append({"start": i, "end": end - 1, "columns": len(_cells(lines[i])), "rows": [(len(r), r.count("")) for r in rows]})
-        i = end
-    return out
-
-
-def loose_blocks(content: str, found: list[dict]) -> list[int]:
-    """Lines (from 1) at which runs of pipe lines outside tables begin."""
-    inside = {k for t in found for k in range(t["start"], t["end"] + 1)}
-    loose = [i for i, line in enumerate(content.split("\n")) if line.strip().startswith("|") and i not in inside]
-    return [i + 1 for i, before in zip(loose, [-2, *loose], strict=False) if i != before + 1]
-
-
-def suspicion(content: str) -> tuple[int, int, int]:
-    """(score, tables, loose blocks): 2 for each loose block; of tables with some filled row, their mostly empty rows if there
-    are two and 40 % at least, and 1 if they have 7 columns and 3 rows at least."""
-    found = tables(content)
-    loose = loose_blocks(content, found)
-    score = 2 * len(loose)
-    for t in found:
-        empty, n = sum(e > 0.5 * c for c, e in t["rows"]), len(t["rows"])
-        if empty == n:
-            continue
-        score += (empty if empty >= 2 and empty >= 0.4 * n else 0) + (t["columns"] >= 7 and n >= 3)
-    return score, len(found), len(loose)
+def table_blocks(rows: DataFrame, key: str, content: Column) -> DataFrame:
+    """(key, start, end, in_table, columns, rows, empty): runs of pipe lines (numbered from 0) and the tables in them.
+
+    A line whose next is a divider of pipes, blanks, colons and three dashes in a row heads a table, unless an earlier table of
+    its run took it in: a table lasts to the end of its run of pipe lines. So of each run, what stands before its first
+    heading is loose. columns: cells of the heading; rows: its data rows; empty: those more than half empty.
+    Lines are exploded and runs found by their numbers: a text of any length is sorted, not held.
+    """
+    pipe = F.trim(F.col("line")).startswith("|")
+    cells = lambda c: F.transform(F.split(F.regexp_replace(F.regexp_replace(F.rtrim(c), r"^\|+|\|+$", ""), r"[ \t]+", " "), r"\|"), lambda x: F.trim(x))
+    lines = rows.select(F.col(key).alias("k"), content.alias("t")).where(F.col("t").contains("|")).select("k", F.posexplode(F.split("t", "\n")).alias("n", "line"))
+    order = Window.partitionBy("k").orderBy("n")
+    divider = F.coalesce(F.lead("line").over(order).rlike(r"^\s*\|[\s\-:|]+\|\s*$") & F.lead("line").over(order).contains("---"), F.lit(False))
+    lines = lines.withColumn("heads", F.col("line").startswith("|") & divider).where(pipe | F.col("heads"))
+    lines = lines.withColumn("run", F.col("n") - F.row_number().over(order))
+    lines = lines.withColumn("head", F.min(F.when(F.col("heads"), F.col("n"))).over(Window.partitionBy("k", "run")))
+    held = cells(F.col("line"))
+    data = F.col("n") >= F.col("head") + 2
+    bare = data & (F.size(F.filter(held, lambda c: c == "")) > 0.5 * F.size(held))
+    inside = F.coalesce(F.col("n") >= F.col("head"), F.lit(False))
+    out = lines.withColumn("in_table", inside).groupBy("k", "run", "in_table").agg(F.min("n").alias("start"), F.max("n").alias("end"), F.max(F.when(F.col("n") == F.col("head"), F.size(held))).alias("columns"), F.count_if(data).alias("rows"), F.count_if(bare).alias("empty"))
+    return out.select(F.col("k").alias(key), "start", "end", "in_table", "columns", "rows", "empty")
 
 
 def suspicious(rows: DataFrame, key: str, content: Column, least: int = 2) -> DataFrame:
-    """(key, score, tables, loose): texts whose tables look broken. Only texts with a pipe visit Python."""
-    kind = dict(rows.dtypes)[key]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [suspicion(t) for t in batch["__t"]]
-            yield pd.DataFrame({"k": batch["__k"], **{c: pd.Series([f[i] for f in found], dtype="int64") for i, c in enumerate(("score", "tables", "loose"))}})
-
-    piped = rows.select(F.col(key).alias("__k"), content.alias("__t")).where(F.col("__t").contains("|"))
-    return piped.mapInPandas(run, f"k {kind}, score long, tables long, loose long").where(F.col("score") >= least).withColumnRenamed("k", key)
-
-
-def open_actions(rows: DataFrame, key: str, content: Column) -> DataFrame:
-    """(key, nth, action, due): unchecked boxes with their due date, if any."""
-    lines = rows.select(key, F.posexplode(F.regexp_extract_all(content, F.lit(r"(?m)^\s*[-*] \[ \] (.+?)\s*$"), 1)).alias("nth", "line"))
-    due = F.try_to_date(F.nullif(F.regexp_extract("line", r"(?:due|échéance)\s*:?\s*(\d{4}-\d{2}-\d{2})", 1), F.lit("")), "yyyy-MM-dd")
-    return lines.select(key, "nth", F.regexp_replace("line", r"\s*[—-]\s*(?:due|échéance)\s*:?\s*\d{4}-\d{2}-\d{2}\s*$", "").alias("action"), due.alias("due"))
+    """(key, score, tables, loose): texts whose tables look broken.
+
+    The score is 2 for each loose block; of tables with some filled row, their mostly empty rows if there are two and 40 % at
+    least, and 1 if they have 7 columns and 3 rows at least.
+    """
+    blocks = table_blocks(rows, key, content)
+    hollow = F.when((F.col("empty") >= 2) & (F.col("empty") >= 0.4 * F.col("rows")), F.col("empty")).otherwise(0)
+    wide = ((F.col("columns") >= 7) & (F.col("rows") >= 3)).cast("int")
+    points = F.when(~F.col("in_table"), 2).when(F.col("empty") == F.col("rows"), 0).otherwise(hollow + wide)
+    out = blocks.groupBy(key).agg(F.sum(points).cast("long").alias("score"), F.count_if("in_table").alias("tables"), F.count_if(~F.col("in_table")).alias("loose"))
+    return out.where(F.col("score") >= least)
+
+
+def actions(rows: DataFrame, entity: str, content: Column, touched: Column, as_of: str, status: str = "all", of: str | None = None) -> DataFrame:
+    """(entity, nth, action, due, status, reason): open boxes of timelines, of one status or entity if asked; sorted: expired
+    ones first, then by due date, undated ones last."""
+    if status not in ("all", "open", "expired"):
+        raise ValueError(f"no such status: {status}")
+    some = rows if of is None else rows.where(F.col(entity) == of)
+    found = open_actions(some.withColumn("__touched", touched), entity, content, "__touched")
+    state = routing.action_status(F.col("due"), F.col("__touched"), as_of)
+    found = found.withColumn("status", state).withColumn("reason", F.when((F.col("status") == "expired") & F.col("due").isNotNull(), "overdue").when(F.col("status") == "expired", "idle")).drop("__touched")
+    found = found if status == "all" else found.where(F.col("status") == status)
+    return found.orderBy(F.when(F.col("status") == "expired", 0).otherwise(1), F.col("due").asc_nulls_last(), entity, "nth")
+
+
+def open_actions(rows: DataFrame, key: str, content: Column, *others: str) -> DataFrame:
+    """(key, others, nth, action, due): unchecked boxes with their due date, if any."""
+    lines = rows.select(key, *others, F.posexplode(F.regexp_extract_all(content, F.lit(r"(?m)^\s*[-*] \[ \] (.+?)\s*$"), 1)).alias("nth", "line"))
+    due = F.try_to_date(F.nullif(F.regexp_extract("line", r"[—-]\s*(?:(?:due|échéance)\s*:?\s*)?(\d{4}-\d{2}-\d{2})$", 1), F.lit("")), "yyyy-MM-dd")
+    return lines.select(key, *others, "nth", F.regexp_replace("line", r"\s*[—-]\s*(?:(?:due|échéance)\s*:?\s*)?\d{4}-\d{2}-\d{2}$", "").alias("action"), due.alias("due"))
 
 
 def message_markdown(row: dict[str, Column]) -> Column:

@@ -22,6 +22,9 @@ from collections.abc import Iterator
 from datetime import UTC, datetime
 from email.header import decode_header as _decode_header
 
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.text import html_to_text
@@ -120,6 +123,23 @@ def parse(data: bytes, folder: str) -> tuple:
     )
 
 
+def parsed(rows: DataFrame, key: str, raw: str, folder: str) -> DataFrame:
+    """(key, and the columns of SCHEMA): raw messages (binary) that are in a table already."""
+    kind = dict(rows.dtypes)[key]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split(" ")[0] for c in SCHEMA.replace("struct<filename:string,content_type:string,size:bigint>", "x").split(", ")]
+        for batch in batches:
+            out = pd.DataFrame([parse(bytes(r), f) for r, f in zip(batch["__raw"], batch["__folder"], strict=True)], columns=names)
+            out["date"] = [None if d is None or pd.isna(d) else d.replace(tzinfo=None) for d in out["date"].astype(object)]
+            out["attachments"] = [[{"filename": a, "content_type": b, "size": c} for a, b, c in x] for x in out["attachments"]]
+            out.insert(0, "__key", batch["__key"].to_numpy())
+            yield out
+
+    some = rows.select(F.col(key).alias("__key"), F.col(raw).alias("__raw"), F.col(folder).alias("__folder"))
+    return some.mapInPandas(run, f"__key {kind}, {SCHEMA}").withColumnRenamed("__key", key)
+
+
 def read_index(path: str) -> list[tuple[int, int]] | None:
     """(offset, length) of each message from an index beside the archive: a list, {messages: [...]}, or {uid: entry}."""
     if not os.path.exists(path):

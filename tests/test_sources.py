@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.plans import executor
@@ -80,16 +81,20 @@ def test_mbox_bounds(spark, tmp_path):
     assert mbox.mail_files(str(tmp_path), "old") == [str(box)] and mbox.mail_files(str(tmp_path), "new") == []
 
 
-def test_tables():
-    md = "| a | b |\n| --- | --- |\n| 1 | 2 |\n\n| lone | row |\n\ntext\n| x |\n| y |"
-    found = markdown.tables(md)
-    assert [(t["start"], t["end"], t["columns"], t["rows"]) for t in found] == [(0, 2, 2, [(2, 0)])]
-    assert markdown.loose_blocks(md, found) == [5, 8]
-    assert markdown.suspicion(md) == (4, 1, 2)
-    sparse = "| a | b | c |\n|---|---|---|\n| 1 | 2 | 3 |\n| x |  |  |\n| y |  |  |"
-    assert markdown.suspicion(sparse) == (2, 1, 0)
-    empty = "| a | b |\n|---|---|\n|  |  |\n|  |  |"
-    assert markdown.suspicion(empty) == (0, 1, 0)
+def test_tables(spark):
+    texts = [
+        "| a | b |\n| --- | --- |\n| 1 | 2 |\n\n| lone | row |\n\ntext\n| x |\n| y |",
+        "| a | b | c |\n|---|---|---|\n| 1 | 2 | 3 |\n| x |  |  |\n| y |  |  |",
+        "| a | b |\n|---|---|\n|  |  |\n|  |  |",
+        "no pipes",
+        None,
+        "| before |\n| a | b |\n|---|---|\n| 1 | 2 |\n| c | d |\n|---|---|",  # a second heading in the same run belongs to the first table
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    blocks = markdown.table_blocks(df, "k", F.col("t")).orderBy("k", "start").collect()
+    assert [(b.k, b.start, b.end, b.in_table, b.rows) for b in blocks] == [(0, 0, 2, True, 1), (0, 4, 4, False, 0), (0, 7, 8, False, 0), (1, 0, 4, True, 3), (2, 0, 3, True, 2), (5, 0, 0, False, 0), (5, 1, 5, True, 3)]
+    got = {r.k: (r.score, r.tables, r.loose) for r in markdown.suspicious(df, "k", F.col("t"), 0).collect()}
+    assert got == {0: (4, 1, 2), 1: (2, 1, 0), 2: (0, 1, 0), 5: (2, 1, 1)}
 
 
 def test_markdown_files(spark, tmp_path):
@@ -98,6 +103,8 @@ def test_markdown_files(spark, tmp_path):
     assert got.fm == {"title": "T"} and got.body.startswith("body")
     actions = markdown.open_actions(markdown.read(spark, str(tmp_path)), "path", F.col("body")).orderBy("nth").collect()
     assert [(a.action, str(a.due)) for a in actions] == [("call", "2024-01-02"), ("later", "None")]
+    with pytest.raises(ValueError):
+        markdown.actions(markdown.read(spark, str(tmp_path)), "path", F.col("body"), F.col("mtime"), "2024-01-01", "no such status")
     assert markdown.listing(spark, str(tmp_path)).count() == 1
 
 
