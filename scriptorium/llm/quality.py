@@ -33,7 +33,7 @@ from .common import crc_mod, text_or_empty
 SAMPLE_ROWS = 1500
 #: Blocks of sampled texts, of BLOCK bytes at most, that train a dictionary: those of least hash, from anywhere in the whole texts.
 SAMPLE_BLOCKS = 12_000
-DICT_BYTES = 112_640
+DICT_BYTES = 262_144
 LEVEL = 3
 #: Bytes compressed at a time.
 BLOCK = 2048
