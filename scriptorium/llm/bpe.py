@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 from ..tables import ship
 
 RANKS = "byte_bpe_50k.tiktoken"
-#: Words, pieces and pairs of tokens whose results a worker keeps; together some 150 MB.
-WORDS, PIECES, PAIRS = 300_000, 300_000, 250_000
+#: Words, pieces and pairs of tokens whose results a worker keeps; together some 100 MB.
+WORDS, PIECES, PAIRS = 200_000, 200_000, 200_000
 #: Bytes of a piece that is kept, at most.
 SHORT = 64
 #: The rank of a merge that doesn't exist.
