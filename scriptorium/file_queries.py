@@ -10,6 +10,7 @@ from .operators import aggregates, filters, inventory, joins, manifest, requests
 from .plans import builders, executor
 from .queries import AS_OF, Tables, query
 from .sources import markdown, mbox
+from .streaming import ingest
 from .tables import new_path
 
 # Markdown artefacts: a document with front matter
@@ -699,3 +700,34 @@ def directories(spark, sf_dir):
     out = inventory.classified_directories(files, 3, ["pdf"], ["py"], ["png"], [".git"], ["tmp"])
     return out.where("dir <> 'r'").select("dir", "category")
 
+
+
+# Streams
+
+
+def _stream(spark, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of its files: a folder of files, or one file in a folder of tables."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    one = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(path).isFile()
+    reader = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/{name}.parquet").schema)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir) if one else reader.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@query("SELECT event_id, user_id, event_type FROM events WHERE event_id % 3 = 0")
+def stream_ingest(spark, sf_dir):
+    """Two runs of an ingest, the second from the start: every key is stored once."""
+    target = new_path(spark, "ingested")
+    for _ in range(2):
+        rows = _stream(spark, sf_dir, "events").where("event_id % 3 = 0").select("event_id", "user_id", "event_type")
+        ingest.ingest(rows, target, new_path(spark, "offsets"), "event_id").awaitTermination()
+    return spark.read.schema("event_id long, user_id long, event_type string").parquet(target)
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1, 2")
+def stream_windows(spark, sf_dir):
+    """Hourly windows of a stream, each as its last update has it."""
+    target = new_path(spark, "windows")
+    rows = _stream(spark, sf_dir, "events").withColumns({"value": F.round(F.col("value") * 100).cast("long"), "ts": F.col("ts").cast("timestamp")})
+    out = ingest.usage_windows(rows, "ts", "event_type", "value").writeStream.outputMode("complete").option("checkpointLocation", new_path(spark, "offsets")).trigger(availableNow=True)
+    out.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(target)).start().awaitTermination()
+    return spark.read.parquet(target).withColumn("start", F.col("start").cast("timestamp_ntz"))
