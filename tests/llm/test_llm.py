@@ -98,6 +98,34 @@ def test_langid_counts_blocks_like_the_whole(monkeypatch):
         assert (langid.counts(text) == whole).all()
 
 
+def test_langid_learns_from_all_languages_and_whole_texts(spark):
+    rng = random.Random(12)
+    codes = [chr(0x4E00 + k) for k in range(520)]
+    rows = [(i, "- " * 5000 + " ".join(codes[i % 260] * 2 + codes[260 + i % 260] for _ in range(30)), f"l{i % 260:03}") for i in range(260 * 4)]  # 260 languages, shown after 10,000 characters
+    rows += [(5000 + i, f"most of all rows {rng.random()} " * 3, "many") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learnt = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    sample = langid.sampled(df.where("crc32(cast(cast(doc_id AS string) AS binary)) % 5 <> 0"), 50, 20_000).collect()
+    assert sum(r.lang == "many" for r in sample) == 50 and len({r.lang for r in sample}) == len({r[2] for r in learnt})
+    model = langid.train(df, rows=50)
+    assert set(model.languages) == {r[2] for r in learnt}
+    seen, n = langid.frequencies(df)
+    want = np.zeros(langid.BUCKETS, int)
+    for _, t, _ in rows:
+        want += langid.counts(t) > 0
+    assert n == len(rows) and (seen == want).all()
+    assert sum(model.predict(t)[0] == lang for _, t, lang in rows[:260]) >= 250
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_held_out_accuracy_on_the_tables(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    said = langid.langid_query(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL AND lang_pred <> 'und'")
+    assert said.where("lang = lang_pred").count() >= 0.95 * said.count() > 0
+    said = quality.quality_query(docs, labels).join(labels, "doc_id").where("held_out AND quality IS NOT NULL")
+    assert said.where("quality = predicted").count() >= 0.8 * said.count() > 0
+
+
 # 2
 
 
@@ -651,6 +679,18 @@ def test_quality(spark, odd, empty):
     assert {r.score for r in quality.quality_query(docs, marks.where("quality = 1")).collect()} == {1.0}
 
 
+def test_quality_learns_from_whole_texts(spark):
+    rng = random.Random(13)
+    assert all(b"".join(x.replace(b"\n", b"") for x in quality.blocks(t, 50)) == t.replace(b"\n", b"") and max(map(len, quality.blocks(t, 50))) <= 50 for t in (b"a" * 170, b"line\n" * 99, b"x" * 40 + b"\n" + b"y" * 60 + b"\nz"))
+    common = [prose(700, rng) for _ in range(60)]  # more than 4,096 characters before the sides differ
+    sides = {1: "good honest words of some meaning", 0: "win cash now click here free spin"}
+    rows = [(i, common[i % 60] + "\n" + " ".join(rng.choice(sides[i % 2].split()) + str(rng.randrange(9)) for _ in range(400))) for i in range(240)]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality.quality_query(docs, marks).collect()}
+    held = [i for i, _ in rows if got[i].held_out]
+    assert sum(got[i].predicted == i % 2 for i in held) >= 0.95 * len(held) > 0
+
+
 # 10
 
 
