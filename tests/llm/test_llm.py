@@ -117,13 +117,13 @@ def test_langid_learns_from_all_languages_and_whole_texts(spark):
     assert sum(model.predict(t)[0] == lang for _, t, lang in rows[:260]) >= 250
 
 
-@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
 def test_held_out_accuracy_on_the_tables(spark):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))  # sf0.001 has eight bad rows to learn from
     said = langid.langid_query(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL AND lang_pred <> 'und'")
-    assert said.where("lang = lang_pred").count() >= 0.95 * said.count() > 0
+    assert said.where("lang = lang_pred").count() >= 0.97 * said.count() > 0
     said = quality.quality_query(docs, labels).join(labels, "doc_id").where("held_out AND quality IS NOT NULL")
-    assert said.where("quality = predicted").count() >= 0.8 * said.count() > 0
+    assert said.where("quality = predicted").count() >= 0.9 * said.count() > 0
 
 
 # 2
