@@ -192,7 +192,7 @@ def places(docs: DataFrame, weights: Mapping[str | None, float] | None = None) -
 
 def _placed(rows: DataFrame, text_key, order: DataFrame, n: int) -> DataFrame:
     on = rows["doc_id"].cast("long").eqNullSafe(F.col("__mix_id")) & (text_key == F.col("__mix_text")) & rows["source"].cast("string").eqNullSafe(F.col("__mix_source"))
-    return rows.join(by_checked_size(order, n, 192), on)  # a row's bytes in memory.drop("__mix_id", "__mix_source", "__mix_text")
+    return rows.join(by_checked_size(order, n, 192), on).drop("__mix_id", "__mix_source", "__mix_text")
 
 
 def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None) -> DataFrame:
