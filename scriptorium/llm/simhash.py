@@ -102,23 +102,23 @@ def links(nodes: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, fp, component_id) for each row of docs."""
+    """(doc_id, h, fp, root, component_id) for each row of docs; root, a fingerprint, tells components without any id apart."""
     table = materialise(fingerprints(docs), "fingerprints")
     nodes = materialise(table.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = components(links(nodes.select("fp", F.col("fp").alias("node"))))
     named = materialise(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "named")
     ids = named.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"))
-    named = named.join(ids, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id")
-    return table.join(named, table["fp"] == named["f"]).select("doc_id", "h", "fp", "component_id")
+    named = named.join(ids, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "root", "component_id")
+    return table.join(named, table["fp"] == named["f"]).select("doc_id", "h", "fp", "root", "component_id")
 
 
 def survivors(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all columns: of each component one, that of the smallest doc_id, and of its texts that of least hash."""
-    rows = materialise(classes(docs).select("doc_id", "h", "component_id"), "classes")
-    each = rows.groupBy("component_id", "doc_id", "h").agg(F.count("*").alias("n"))
+    rows = materialise(classes(docs).select("doc_id", "h", "root"), "classes")
+    each = rows.groupBy("root", "doc_id", "h").agg(F.count("*").alias("n"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "h")
-    sizes = rows.groupBy(F.col("component_id").alias("c")).agg(F.count("*").alias("size"), F.min(order).alias("first")).where("size > 1")
-    fates = each.join(sizes, F.col("component_id").eqNullSafe(F.col("c"))).select(F.col("doc_id").alias("__near_id"), F.col("h").alias("__near_text"), "n", order.eqNullSafe(F.col("first")).alias("stays"))
+    sizes = rows.groupBy(F.col("root").alias("c")).agg(F.count("*").alias("size"), F.min(order).alias("first")).where("size > 1")
+    fates = each.join(sizes, F.col("root") == F.col("c")).select(F.col("doc_id").alias("__near_id"), F.col("h").alias("__near_text"), "n", order.eqNullSafe(F.col("first")).alias("stays"))
     fates = materialise(fates, "fates")
     gone, again = fates.where("NOT stays OR n > 1").drop("n", "stays"), fates.where("stays AND n > 1").drop("n", "stays")
     on = docs["doc_id"].cast("long").eqNullSafe(F.col("__near_id")) & (_text_hash() == F.col("__near_text"))
