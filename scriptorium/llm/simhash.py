@@ -98,7 +98,8 @@ def links(nodes: DataFrame) -> DataFrame:
     asks = asks.selectExpr(f"{_key_of('x.t', '(fp | x.m)')} AS key", "fp", "node", "x.m = 0L AS plain")
     held = nodes.select("fp", "node", F.expr("explode(array(0, 1, 2, 3)) AS t")).selectExpr(f"{_key_of('t', 'fp')} AS k", "fp AS other_fp", "node AS other")
     near = (F.col("key") == F.col("k")) & (F.col("fp") != F.col("other_fp")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other_fp"))) <= MAX_DISTANCE) & (~F.col("plain") | (F.col("fp") < F.col("other_fp")))
-    return asks.join(held, near).select(F.col("node").alias("a"), F.col("other").alias("b"))
+    # Never a broadcast: the engine's estimate of either side is that of nodes, before they are exploded.
+    return asks.hint("merge").join(held.hint("merge"), near).select(F.col("node").alias("a"), F.col("other").alias("b"))
 
 
 def classes(docs: DataFrame) -> DataFrame:

@@ -175,6 +175,13 @@ def test_rows_that_share_an_id_are_told_apart(spark):
     assert (1, a) in left and (9, b) in left and (9, near) not in left and (None, a) not in left and left.count((7, "z")) == 1
 
 
+def test_simhash_never_broadcasts_its_lookups(spark):
+    """A small table makes some fifty lookups for each row; the engine's estimate is that of the small table."""
+    nodes = spark.range(50).selectExpr("xxhash64(id) AS fp").selectExpr("fp", "fp AS node")
+    plan = simhash.links(nodes)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
 def test_simhash_links_every_pair_of_distance_two(spark):
     rng = random.Random(8)
     base = [rng.getrandbits(64) for _ in range(6)] + [0, (1 << 64) - 1]
