@@ -8,12 +8,15 @@ in what follows, so that copies of one text cost a row each.
 
 Paragraphs are lines of WORDS words and more; shorter lines that follow each other without a blank line make up one
 paragraph. Each gets a MinHash signature over five-word shingles; bands are tuned so that pairs of similarity THRESHOLD
-collide with probability RECALL. Equal paragraphs meet before, by a digest of 128 bits, and count once. In each bucket the
-first paragraph is the centre, and all others are compared with it by the exact Jaccard similarity of their words. Where some
-are near no centre yet, the bucket is taken up again with some of those as centres, until none is left. From round WHOLE
-on, one more hash of the signature splits a bucket each time, so that crowds of unlike paragraphs part while near ones stay
-together with the chance of their similarity. So copies of one text cost rows in proportion to their number, no bucket is
-compared pair by pair, and none is cut.
+collide with probability RECALL. Equal paragraphs meet before, by a digest of 128 bits, and count once. In each bucket all
+others are compared with a centre, the one of fewest rare shingles, by the exact Jaccard similarity of their words, so near
+copies of one text cost rows in proportion to their number.
+
+Bands miss near pairs by chance, and so do centres. What they leave apart is found exactly by prefixes: of two sets of shingles in one
+common order, whose similarity reaches the threshold, each has a shingle of the other among its first (1 - THRESHOLD) of them.
+The order is by how often a shingle occurs in a sample of SAMPLE_TEXTS texts, then by hash, so that crowds share few prefixes; the
+sample decides on cost only. Pairs that share a prefix, are not in one component yet and may have enough in common by their sizes
+and places are compared by their words, too. So components are those of all pairs at the threshold.
 
 Passages may begin and end inside paragraphs: WORDS consecutive words and more that two documents share. The units are all
 windows of WORDS words, and their MinHash the least hash of GRAM words in them: neighbours have mostly the same one, so a
@@ -54,13 +57,11 @@ GRAM = 25
 #: Every window holds so many words before or after any GRAM of its words.
 SIDE = (WORDS - GRAM) // 2
 ROWS = 4
-#: Centres of a bucket in each round (the last number for all after it), rounds on whole buckets, and hashes beyond the bands by
-#: which they are split then.
-CENTRES = (1, 4, 16)
-WHOLE = 4
-SPLITS = 6
 #: Shingles times hash functions worked on at once.
 BLOCK = 1 << 20
+#: Texts whose shingles are counted, on average, and the shingles known as common, at most.
+SAMPLE_TEXTS = 1 << 14
+COMMON = 1 << 17
 
 _PRIME, _MIX = 0x100000001B3, 0x9E3779B97F4A7C15
 
@@ -169,12 +170,12 @@ def window_starts(hashes: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.
     return starts, least[starts]
 
 
-def signatures(hashes: np.ndarray, spans: list[tuple[int, int]], n_bands: int, rows: int = ROWS, splits: int = SPLITS) -> np.ndarray:
-    """For each span of SHINGLE_WORDS words and more: n_bands longs, equal where all hashes of a band are, and `splits` single hashes."""
+def signatures(hashes: np.ndarray, spans: list[tuple[int, int]], n_bands: int, rows: int = ROWS) -> np.ndarray:
+    """For each span of SHINGLE_WORDS words and more: n_bands longs, equal where all hashes of a band are."""
     s = shingles(hashes)
     cuts = np.array([x for a, b in spans for x in (a, b - SHINGLE_WORDS + 1)])
     s = np.append(s, np.iinfo(np.uint64).max)  # so that a cut may stand at the end
-    n = n_bands * rows + splits
+    n = n_bands * rows
     odd = _mixed(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)
     least = np.empty((n, len(spans)), np.uint64)
     step = max(1, BLOCK // len(s))
@@ -185,9 +186,44 @@ def signatures(hashes: np.ndarray, spans: list[tuple[int, int]], n_bands: int, r
             least[at : at + step] = np.minimum.reduceat(h, cuts, axis=1)[:, ::2]
         out = np.zeros((n_bands, len(spans)), np.uint64)
         for j in range(rows):
-            out = out * np.uint64(_PRIME) + _mixed(least[j : n_bands * rows : rows])
+            out = out * np.uint64(_PRIME) + _mixed(least[j::rows])
         out = _mixed(out + np.arange(n_bands, dtype=np.uint64)[:, None])
-    return np.ascontiguousarray(np.concatenate((out, least[n_bands * rows :])).T).view(np.int64)
+    return np.ascontiguousarray(out.T).view(np.int64)
+
+
+def prefix(tokens: np.ndarray, common: tuple[np.ndarray, np.ndarray], threshold: float) -> np.ndarray:
+    """The number of different shingles, how many are not in `common`, and those first in order: ones not in `common` by hash, then the others by rank.
+
+    One more than the threshold asks for: two words of one hash may make a set smaller.
+    """
+    tokens = np.unique(tokens).view(np.int64)
+    n = len(tokens)
+    many = min(n, n - int(np.ceil(threshold * n - 1e-9)) + 2)
+    rare = n
+    if len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], tokens), len(common[0]) - 1)
+        rank = np.where(common[0][at] == tokens, common[1][at], 0)
+        tokens, rare = tokens[np.argsort(rank, kind="stable")], n - np.count_nonzero(rank)
+    return np.concatenate(([n, rare], tokens[:many])).astype(np.int64)
+
+
+def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in order, rank from 1: rarest first) of shingles that several sampled texts have; COMMON at most reach the driver."""
+    n = texts.count()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.unique(shingles(word_hashes(w))) for w in (lines(t)[0] for t in batch.column(0).to_pylist()) if len(w) >= WORDS]
+            if own:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64))], ["token"])
+
+    some = texts.where(F.pmod(F.xxhash64("doc_id", "t", F.lit("common")), F.lit(max(1, n // SAMPLE_TEXTS))) == 0).select("text")
+    counts = some.mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).where("n > 2")
+    rows = counts.orderBy(F.desc("n"), "token").limit(COMMON).toArrow()
+    token = rows.column("token").to_numpy()
+    rank = np.arange(len(token), 0, -1)
+    order = np.argsort(token)
+    return token[order], rank[order]
 
 
 def _offsets(words: list[bytes]) -> np.ndarray:
@@ -209,10 +245,11 @@ def keyed(docs: DataFrame) -> DataFrame:
     return some.select("doc_id", F.when(F.col("again").isNotNull(), F.col("hash")).otherwise(0).alias("t"), "text")
 
 
-def units(texts: DataFrame, n_bands: int) -> DataFrame:
-    """doc_id, t, kind, start, stop, digest, marks, c, before, after. Kind 0: a paragraph, its digest and signature; kind 1: a least gram
-    and its sides, each once for a text; kind 2: the whole text and its digest."""
+def units(texts: DataFrame, n_bands: int, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, t, kind, start, stop, digest, marks, c, before, after. Kind 0: a paragraph, its digest, signature and prefix; kind 1: a
+    least gram and its sides, each once for a text; kind 2: the whole text and its digest."""
     ship(texts.sparkSession)
+    common = texts.sparkSession.sparkContext.broadcast(common_shingles(texts))  # 16 bytes each
     schema = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("digest", pa.binary()), ("marks", pa.list_(pa.int64())), ("c", pa.int64()), ("before", pa.int64()), ("after", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +274,10 @@ def units(texts: DataFrame, n_bands: int) -> DataFrame:
                 starts += [0, *(a for a, _ in long)]
                 stops += [len(words), *(b for _, b in long)]
                 digests += [digest(joined), *(digest(joined[at[a] : at[b] - 1]) for a, b in long)]
-                marks += [None, *(signatures(hashes, long, n_bands) if long else [])]
+                marks.append(None)
+                if long:
+                    s = shingles(hashes)
+                    marks += [np.concatenate((m, prefix(s[a : b - SHINGLE_WORDS + 1], common.value, threshold))) for m, (a, b) in zip(signatures(hashes, long, n_bands), long, strict=True)]
             n = len(ids)
             if n:
                 none = pa.nulls(n, pa.int64())
@@ -307,40 +347,43 @@ def _verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame
     return both.where(test("left", "right")).select("a", "b")
 
 
+def _compared(texts: DataFrame, every: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """Of pairs (a, b) of ids, those whose words are near, as a table."""
+    pairs = materialise(pairs.distinct(), "pairs")
+    ids = pairs.select(F.col("a").alias("x")).unionByName(pairs.select(F.col("b").alias("x"))).distinct()
+    words = materialise(_words_of(texts, every.join(ids, F.col("id") == F.col("x"), "left_semi").select("id", "doc_id", "t", "start", "stop")), "words")
+    out = materialise(_verified(pairs, words, threshold), "close")
+    discard(pairs, words)
+    return out
+
+
 def paragraph_links(texts: DataFrame, every: DataFrame, n_bands: int, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b), as a table: ids of different paragraphs of similarity >= threshold, enough of them to make up the components.
+    """(a, b), as a table: ids of different paragraphs of similarity >= threshold: those of the centre of each bucket with the others.
 
     every: a table of distinct paragraphs: id, doc_id, t, start, stop (of one occurrence), marks.
     """
-    rows = every.select("id", F.posexplode(F.slice("marks", 1, n_bands)).alias("band", "key"))
-    crowded = rows.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("members")).where("members > 1").select("k")
-    rest = materialise(rows.join(crowded, F.col("key") == F.col("k")).select("key", "id", F.lit(False).alias("done")), "buckets")
-    named = rest.select(F.col("id").alias("x")).distinct()
-    splits = materialise(every.join(named, F.col("id") == F.col("x"), "left_semi").select("id", "doc_id", "t", "start", "stop", F.slice("marks", n_bands + 1, SPLITS).alias("splits")), "splits")
-    words = materialise(_words_of(texts, splits), "words")
-    marks = splits.select(F.col("id").alias("s"), "splits")
-    found, level = None, 0
-    while True:
-        # Of the members of a bucket that are near no centre yet, the first (later on: of each of several parts by hash) is a centre now.
-        slot = F.pmod(F.xxhash64("id", F.lit(level)), F.lit(CENTRES[min(level, len(CENTRES) - 1)]))
-        open_ = rest.where("NOT done").groupBy(F.col("key").alias("k"), slot.alias("slot")).agg(F.min("id").alias("centre")).select("k", "centre")
-        met = materialise(rest.join(open_, F.col("key") == F.col("k")).select("key", "id", "done", "centre"), "met")
-        pairs = met.where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-        close = materialise(_verified(pairs, words, threshold), "close")
-        found = close if found is None else found.unionByName(close)
-        on = (F.least("id", "centre") == F.col("a")) & (F.greatest("id", "centre") == F.col("b"))
-        left = met.join(close, on, "left").groupBy("key", "id").agg(F.max(F.col("done") | F.col("a").isNotNull()).alias("done"), F.max(F.col("id") == F.col("centre")).alias("was"))
-        left = left.where("NOT was").select("key", "id", "done")  # a centre has met all others
-        if WHOLE <= level < WHOLE + SPLITS:
-            left = left.join(marks, F.col("id") == F.col("s")).select(F.xxhash64("key", F.element_at("splits", level - WHOLE + 1)).alias("key"), "id", "done")
-        left = materialise(left, "left")
-        crowded = left.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("n"), F.min("done").alias("all")).where("n > 1 AND NOT all").select("k")
-        before, rest = rest, materialise(left.join(crowded, F.col("key") == F.col("k")).select("key", "id", "done"), "buckets")
-        discard(before, met, left)
-        level += 1
-        if not rest.limit(1).count():
-            discard(rest, words, splits)
-            return found
+    rows = every.select("id", F.element_at("marks", n_bands + 2).alias("rare"), F.explode(F.slice("marks", 1, n_bands)).alias("key"))
+    first = F.min(F.struct("rare", "id"))  # what copies were made of has fewer shingles of its own than they
+    centres = rows.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("members"), first.alias("first")).where("members > 1").select("k", F.col("first.id").alias("centre"))
+    met = rows.hint("merge").join(centres, F.col("key") == F.col("k")).where("id <> centre")
+    return _compared(texts, every, met.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")), threshold)
+
+
+def missed_links(texts: DataFrame, every: DataFrame, roots: DataFrame, n_bands: int, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b), as a table: all pairs of similarity >= threshold whose roots (node, root) differ. every: as for paragraph_links()."""
+    at = n_bands + 1
+    rows = every.join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"), F.element_at("marks", at).cast("int").alias("n"), F.slice("marks", at + 2, 1 << 30).alias("prefix"))
+    table = materialise(rows, "prefixes")
+    rows = table.select("id", "root", "n", F.posexplode("prefix").alias("place", "token"))
+    left = rows.select("token", *(F.col(c).alias(f"{c}_a") for c in ("id", "root", "n", "place"))).hint("merge")
+    right = rows.select(F.col("token").alias("other"), *(F.col(c).alias(f"{c}_b") for c in ("id", "root", "n", "place")))
+    share = threshold / (1 + threshold)
+    enough = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) + 1 >= share * (F.col("n_a") + F.col("n_b"))  # one for words of one hash
+    alike = F.least("n_a", "n_b") + 1 >= threshold * F.greatest("n_a", "n_b")
+    pairs = left.join(right, (F.col("token") == F.col("other")) & (F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & enough & alike)
+    out = _compared(texts, every, pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")), threshold)
+    discard(table)
+    return out
 
 
 def near_paragraphs(texts: DataFrame, table: DataFrame, n_bands: int, threshold: float) -> DataFrame:
@@ -348,7 +391,9 @@ def near_paragraphs(texts: DataFrame, table: DataFrame, n_bands: int, threshold:
     place = F.struct("doc_id", "t", "start", "stop")
     every = table.groupBy("digest").agg(F.min(place).alias("first"), F.first("marks").alias("marks"))
     every = materialise(every.select(F.monotonically_increasing_id().alias("id"), F.col("digest").alias("g"), "first.*", "marks"), "paragraphs")
-    roots = components(paragraph_links(texts, every.drop("g"), n_bands, threshold))
+    links = paragraph_links(texts, every.drop("g"), n_bands, threshold)
+    links = links.unionByName(missed_links(texts, every.drop("g"), components(links), n_bands, threshold))
+    roots = components(links)
     named = every.select("g", "id").join(roots, F.col("id") == F.col("node"), "left").select("g", F.coalesce("root", "id").alias("cluster_id"))
     rows = table.select("doc_id", "t", "start", "stop", "digest").distinct()
     spans = rows.join(named, F.col("digest") == F.col("g")).select("doc_id", "t", F.lit("paragraph").alias("kind"), "start", "stop", "cluster_id", F.lit(False).alias("kept"))
@@ -463,7 +508,7 @@ def repeated_spans(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     """doc_id, kind, start, stop (words), cluster_id, cluster_size, keep_doc_id, kept: the spans that repeat across documents."""
     ship(docs.sparkSession)
     n_bands, texts = bands(threshold, recall), keyed(docs)
-    table = materialise(units(texts, n_bands), "units", "kind")
+    table = materialise(units(texts, n_bands, threshold), "units", "kind")
     by_text, copied, n = equal_texts(table.where("kind = 2"))
     once = lambda kind: table.where(F.col("kind") == kind).join(by_checked_size(copied, n, 96), (F.col("doc_id") == F.col("d")) & (F.col("t") == F.col("u")), "left_anti")
     by_paragraph = near_paragraphs(texts, once(0).select("doc_id", "t", "start", "stop", "digest", "marks"), n_bands, threshold)

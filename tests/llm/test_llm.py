@@ -616,6 +616,36 @@ def test_paragraph_links_make_up_all_components(spark):
     assert sorted(map(sorted, got.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
 
 
+def test_no_pair_at_the_threshold_is_left_out(spark):
+    """Bands alone miss about one in a hundred pairs whose similarity is just the threshold."""
+    rng = random.Random(31)
+    fresh = lambda n: [f"{rng.getrandbits(60):x}" for _ in range(n)]
+    texts = []
+    for _ in range(500):
+        words = fresh(67)
+        texts += [" ".join(words), " ".join(words[:32] + fresh(3) + words[35:])]
+    assert all(passages.near(texts[i], texts[i + 1], 0.8) for i in range(0, 1000, 2))
+    rows = passages.passages_query(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    clusters = {}
+    for r in rows:
+        clusters.setdefault(r.cluster_id, []).append(r.doc_id)
+    assert sorted(map(sorted, clusters.values())) == [[i, i + 1] for i in range(0, 1000, 2)]
+
+
+def test_prefixes_of_near_sets_meet_in_any_order():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        x = rng.integers(0, 1 << 63, rng.integers(1, 90), dtype=np.uint64)
+        y = np.concatenate((x[: max(1, int(np.ceil(len(x) * 0.9)))], rng.integers(0, 1 << 63, 3, dtype=np.uint64)))
+        both = np.unique(np.concatenate((x, y))).view(np.int64)
+        token = np.sort(rng.choice(both, len(both) // 2, replace=False))
+        common = (token, rng.permutation(len(token)) + 1)
+        a, b = set(x.tolist()), set(y.tolist())
+        if len(a & b) >= 0.8 * len(a | b):
+            p, q = (passages.prefix(z, common, 0.8) for z in (x, y))
+            assert p[0] == len(a) and set(p[2:].tolist()) & set(q[2:].tolist())
+
+
 def test_rows_that_share_an_id_are_documents_of_their_own(spark):
     rng = random.Random(23)
     fresh = lambda n: " ".join(f"{rng.getrandbits(60):x}" for _ in range(n))
