@@ -372,11 +372,15 @@ def paragraph_links(texts: DataFrame, every: DataFrame, n_bands: int, threshold:
 def missed_links(texts: DataFrame, every: DataFrame, roots: DataFrame, n_bands: int, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b), as a table: all pairs of similarity >= threshold whose roots (node, root) differ. every: as for paragraph_links()."""
     at = n_bands + 1
-    rows = every.join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"), F.element_at("marks", at).cast("int").alias("n"), F.slice("marks", at + 2, 1 << 30).alias("prefix"))
-    table = materialise(rows, "prefixes")
-    rows = table.select("id", "root", "n", F.posexplode("prefix").alias("place", "token"))
-    left = rows.select("token", *(F.col(c).alias(f"{c}_a") for c in ("id", "root", "n", "place"))).hint("merge")
-    right = rows.select(F.col("token").alias("other"), *(F.col(c).alias(f"{c}_b") for c in ("id", "root", "n", "place")))
+    rows = every.select("id", F.posexplode(F.slice("marks", at + 2, 1 << 30)).alias("place", "token"))
+    own = Window.partitionBy("token")
+    rows = rows.withColumns({"low": F.min("id").over(own), "high": F.max("id").over(own)}).where("low < high").select("id", "place", "token")
+    rows = materialise(rows, "prefixes")  # few: most shingles are of one paragraph, and each row was shuffled once, without its root
+    of = every.select(F.col("id").alias("i"), F.element_at("marks", at).cast("int").alias("n")).join(roots, F.col("i") == F.col("node"), "left").select("i", "n", F.coalesce("root", "i").alias("root"))
+    table = materialise(rows.join(of, F.col("id") == F.col("i")).select("id", "place", "token", "n", "root"), "placed")
+    discard(rows)
+    left = table.select("token", *(F.col(c).alias(f"{c}_a") for c in ("id", "root", "n", "place"))).hint("merge")
+    right = table.select(F.col("token").alias("other"), *(F.col(c).alias(f"{c}_b") for c in ("id", "root", "n", "place")))
     share = threshold / (1 + threshold)
     enough = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) + 1 >= share * (F.col("n_a") + F.col("n_b"))  # one for words of one hash
     alike = F.least("n_a", "n_b") + 1 >= threshold * F.greatest("n_a", "n_b")
