@@ -103,3 +103,11 @@ def test_empty_documents(spark):
     for _, stage in pipeline.STAGES:
         docs = stage(spark, docs, DATA) if docs.columns else docs
         assert docs.count() == 0
+
+
+def test_near_copies_broadcast_no_lookups(spark, monkeypatch):
+    """Stage 3 explodes each fingerprint into some fifty lookups, which the engine takes for as small as the fingerprints."""
+    plans, find = [], simhash.components
+    monkeypatch.setattr(simhash, "components", lambda edges: plans.append(edges._jdf.queryExecution().executedPlan().toString()) or find(edges))
+    pipeline.drop_near_copies(spark, documents(spark, DATA), DATA)
+    assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
