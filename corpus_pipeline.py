@@ -54,9 +54,9 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Empty and null texts have no ids. Rows equal in doc_id, source and text share a position. Extra columns go.
     """
-    rows = bpe.encoded(docs.select("doc_id", "source", "text", F.xxhash64("text").alias("text_key")))
-    rows = rows.select("doc_id", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "text_key")
-    return mixing.with_places(rows, docs, "text_key")
+    rows = docs.select("doc_id", "source", "text", F.xxhash64("text").alias("text_key"))
+    rows = bpe.encoded(mixing.with_places(rows, docs, "text_key"))  # placed before they are encoded: ids take more room than texts
+    return rows.select("doc_id", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "position")
 
 
 STAGES = [

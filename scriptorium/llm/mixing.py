@@ -24,6 +24,10 @@ own, named by null; null ids are ids. Sources without a target share the least w
 given); targets without documents are ignored. Weights must be positive. Rows that repeat are placed each on its own.
 Empty tables give empty results. Texts only count by their hash. Extra columns are ignored by positions() and kept by mixed()
 and with_places(), where rows equal in doc_id, source and text share the least of their places.
+
+mixed() and with_places() shuffle each text once, at any size. with_places() merges texts and places by hash. mixed() must deal
+texts by their place, which no row knows by itself; but within a source places rise with the draw, so the first draw of
+each source in each partition (`cuts`) tells a row its partition, and there it meets its place.
 """
 
 from __future__ import annotations
@@ -39,11 +43,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..tables import by_checked_size, materialise, ship
+from ..tables import BROADCAST_BYTES, by_checked_size, materialise, ship
 from .common import copies
 
 BLOCK_DOCS = 16
 BUCKET_DOCS = 4096
+#: Bytes of one cut as it is broadcast, at most; where cuts would pass the bound on broadcasts, texts are shuffled twice.
+CUT_BYTES = 64
 #: Slots in a batch that the scheduling task hands on.
 SLOTS = 1 << 16
 
@@ -137,12 +143,16 @@ def _text_key(docs: DataFrame):
     return F.xxhash64("text") if "text" in docs.columns else F.lit(0).cast("long")
 
 
+def _draw(doc_id, h):
+    return F.xxhash64(doc_id, h, F.lit("mix"))
+
+
 def numbered(docs: DataFrame, sizes: Mapping[str | None, int], bucket_docs: int = BUCKET_DOCS) -> DataFrame:
     """(doc_id, source, h, same, nth): distinct rows, how often each occurs, and its number (from 0) in the source; a row that
     occurs n times has n numbers from nth on. The order is drawn by hash and is the same however the rows are stored."""
     spark = docs.sparkSession
     keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _text_key(docs).alias("h"))
-    keys = keys.groupBy("doc_id", "source", "h").agg(F.count("*").alias("same")).withColumn("draw", F.xxhash64("doc_id", "h", F.lit("mix")))
+    keys = keys.groupBy("doc_id", "source", "h").agg(F.count("*").alias("same")).withColumn("draw", _draw("doc_id", "h"))
     buckets = spark.createDataFrame([(s, -(-n // bucket_docs)) for s, n in sizes.items()], "s string, buckets long")
     keys = keys.join(by_checked_size(buckets, len(sizes), 256), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     place = F.floor((F.shiftrightunsigned("draw", 1) / F.lit(float(1 << 63))) * F.col("buckets")).cast("long")
@@ -178,8 +188,8 @@ def positions(docs: DataFrame, weights: Mapping[str | None, float] | None = None
     return out.select("doc_id", "source", "block", "slot", "position")
 
 
-def places(docs: DataFrame, weights: Mapping[str | None, float] | None = None) -> tuple[DataFrame, int, int]:
-    """(__mix_id, __mix_source, __mix_text, __mix_at) as a table, its rows, and the end of all positions.
+def places(docs: DataFrame, weights: Mapping[str | None, float] | None = None) -> tuple[DataFrame, int]:
+    """(__mix_id, __mix_source, __mix_text, __mix_at) as a table, and the end of all positions.
 
     A row's place follows from doc_id, source and text alone, so the same rows have the same places however they are stored.
     """
@@ -187,12 +197,40 @@ def places(docs: DataFrame, weights: Mapping[str | None, float] | None = None) -
     sizes = source_sizes(docs)
     out = _positioned(numbered(docs, sizes), sizes, weights or tempered(sizes), BLOCK_DOCS)
     out = materialise(out.select(F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_source"), F.col("h").alias("__mix_text"), F.col("position").alias("__mix_at")), "places")
-    return out, out.count(), sum(-(-n // BLOCK_DOCS) for n in sizes.values()) * BLOCK_DOCS
+    return out, sum(-(-n // BLOCK_DOCS) for n in sizes.values()) * BLOCK_DOCS
 
 
-def _placed(rows: DataFrame, text_key, order: DataFrame, n: int) -> DataFrame:
+def _placed(rows: DataFrame, text_key, order: DataFrame, *also) -> DataFrame:
     on = rows["doc_id"].cast("long").eqNullSafe(F.col("__mix_id")) & (text_key == F.col("__mix_text")) & rows["source"].cast("string").eqNullSafe(F.col("__mix_source"))
-    return rows.join(by_checked_size(order, n, 192), on).drop("__mix_id", "__mix_source", "__mix_text")
+    for x in also:
+        on = on & x
+    # Never a broadcast: small runs take the path that large ones take.
+    return rows.hint("merge").join(order.hint("merge"), on).drop("__mix_id", "__mix_source", "__mix_text")
+
+
+def _slice(draw, parts: int):
+    """The leading bits of a draw, so many that some eight of `parts` are met in a slice. A slice has draws of one sign."""
+    return F.shiftrightunsigned(draw, 64 - max(1, (parts // 8).bit_length()))
+
+
+def cuts(order: DataFrame, parts: int) -> DataFrame:
+    """(source, slice, part, first) as a table: the first row, by draw, of each part within a slice of a source's draws.
+
+    order: places with __mix_part. Numbers within a source, and so places and parts, rise with (draw, doc_id, h) in a slice.
+    """
+    drawn = order.withColumn("draw", _draw("__mix_id", "__mix_text"))
+    first = F.min(F.struct("draw", F.col("__mix_id").alias("doc_id"), F.col("__mix_text").alias("h"))).alias("first")
+    return materialise(drawn.groupBy(F.col("__mix_source").alias("source"), _slice("draw", parts).alias("slice"), F.col("__mix_part").alias("part")).agg(first), "cuts")
+
+
+def _with_part(docs: DataFrame, found: DataFrame, parts: int) -> DataFrame:
+    """docs and __mix_to, the partition of each row: in its slice the last whose first row is not after it."""
+    lists = F.broadcast(found.groupBy(F.col("source").alias("__mix_s"), F.col("slice").alias("__mix_slice")).agg(F.collect_list(F.struct("part", "first")).alias("__mix_cuts")))
+    draw = _draw(docs["doc_id"].cast("long"), _text_key(docs))
+    key = F.struct(draw.alias("draw"), docs["doc_id"].cast("long").alias("doc_id"), _text_key(docs).alias("h"))
+    near = docs.join(lists, docs["source"].cast("string").eqNullSafe(F.col("__mix_s")) & (_slice(draw, parts) == F.col("__mix_slice")))
+    begun = F.filter("__mix_cuts", lambda c: c["first"] <= key)
+    return near.withColumn("__mix_to", F.array_max(F.transform(begun, lambda c: c["part"]))).drop("__mix_s", "__mix_slice", "__mix_cuts")
 
 
 def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None) -> DataFrame:
@@ -200,18 +238,24 @@ def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None) ->
 
     A table written of it is not read back in that order; with_places() gives the place as a column.
     """
-    order, n, end = places(docs, weights)
+    order, end = places(docs, weights)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = _placed(docs, _text_key(docs), order, n)
-    part = F.floor(F.col("__mix_at") / F.lit(max(1, end)) * parts).cast("int")  # places are dense: equal ranges have equal rows
-    return placed.repartitionById(parts, part).sortWithinPartitions("__mix_at").drop("__mix_at")
+    part = F.expr(f"CAST(__mix_at * {parts}L DIV {max(1, end)}L AS int)")  # places are dense: equal ranges have equal rows
+    order = order.withColumn("__mix_part", part)
+    found = cuts(order, parts)
+    if found.count() * CUT_BYTES <= BROADCAST_BYTES:
+        dealt = _with_part(docs, found, parts).repartitionById(parts, F.col("__mix_to"))
+        placed = _placed(dealt, _text_key(dealt), order.repartitionById(parts, F.col("__mix_part")), F.col("__mix_to") == F.col("__mix_part"))
+    else:
+        placed = _placed(docs, _text_key(docs), order).repartitionById(parts, F.col("__mix_part"))
+    return placed.sortWithinPartitions("__mix_at").drop("__mix_at", "__mix_part", "__mix_to")
 
 
 def with_places(rows: DataFrame, docs: DataFrame, text_key: str, weights: Mapping[str | None, float] | None = None) -> DataFrame:
     """All columns of rows but text_key, and `position`: the place in the schedule of docs. rows: doc_id, source, text_key
     (xxhash64 of the text) and others, a row for each row of docs."""
-    order, n, _ = places(docs, weights)
-    return _placed(rows, rows[text_key], order, n).withColumnRenamed("__mix_at", "position").drop(text_key)
+    order, _ = places(docs, weights)
+    return _placed(rows, rows[text_key], order).withColumnRenamed("__mix_at", "position").drop(text_key)
 
 
 def mixing_query(docs: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """The pipeline's stages against plain versions, each on its own input."""
 
 import os
+import re
 import sys
 from pathlib import Path
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 pipeline = pytest.importorskip("corpus_pipeline")
 
+from scriptorium import tables  # noqa: E402
 from scriptorium.llm import bpe, mixing, quality, simhash  # noqa: E402
 from scriptorium.llm.common import documents  # noqa: E402
 
@@ -111,3 +113,52 @@ def test_near_copies_broadcast_no_lookups(spark, monkeypatch):
     monkeypatch.setattr(simhash, "components", lambda edges: plans.append(edges._jdf.queryExecution().executedPlan().toString()) or find(edges))
     pipeline.drop_near_copies(spark, documents(spark, DATA), DATA)
     assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
+
+
+def shuffled(df, column):
+    """How many exchanges of df's plan hold a column."""
+
+    def count(node):
+        if node.nodeName() == "AdaptiveSparkPlan":
+            return count(node.executedPlan())
+        here = node.nodeName() == "Exchange" and re.search(rf"\b{column}#", node.output().mkString(" ")) is not None
+        return here + sum(count(node.children().apply(i)) for i in range(node.children().size()))
+
+    return count(df._jdf.queryExecution().executedPlan())
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_texts_are_shuffled_once_to_their_places_at_any_size(spark, monkeypatch, large):
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    if large:  # as if nothing counted were small enough
+        monkeypatch.setattr(tables, "BROADCAST_BYTES", 0)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = documents(spark, DATA)
+        assert shuffled(pipeline.mix_sources(spark, docs, DATA), "text") == 1
+        rows = pipeline.encode(spark, docs, DATA)
+        assert shuffled(rows, "text") == 1 and shuffled(rows, "token_ids") == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+@pytest.mark.parametrize("parts", [1, 4, 37, 211])
+@pytest.mark.parametrize("bound", [tables.BROADCAST_BYTES, 0])
+def test_mixed_rows_come_in_the_order_of_the_schedule(spark, monkeypatch, parts, bound):
+    """Each partition of mixed() after the one before, each row in its place: ties, nulls, copies, small sources and no source."""
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", bound)
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        docs = documents(spark, DATA).select("doc_id", "text", "source")
+        more = [(None, "again", "a")] * 300 + [(None, None, None)] * 5 + [(i, "hot", "a") for i in range(3000)] + [(i, None, f"s{i}") for i in range(40)] + [(7, "", None), (7, None, None), (7, "x", "a")]
+        docs = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string, source string"))
+        keyed = mixing.with_places(docs.withColumn("k", F.xxhash64("text")), docs, "k").collect()
+        place = {(r.doc_id, r.text, r.source): r.position for r in keyed}
+        out = mixing.mixed(docs)
+        got = [(r.doc_id, r.text, r.source) for r in out.collect()]
+        assert out.columns == ["doc_id", "text", "source"] and len(got) == len(keyed) == docs.count()
+        assert sorted(got, key=repr) == sorted(((r.doc_id, r.text, r.source) for r in keyed), key=repr)
+        assert [place[x] for x in got] == sorted(r.position for r in keyed)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
