@@ -41,6 +41,7 @@ from zlib import crc32
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,13 +58,14 @@ GRAM = 25
 #: Every window holds so many words before or after any GRAM of its words.
 SIDE = (WORDS - GRAM) // 2
 ROWS = 4
-#: Shingles times hash functions worked on at once.
-BLOCK = 1 << 20
+#: Words of texts worked on together, at least (a longer text is worked on alone): a call of numpy costs as much as hundreds of words.
+JOINED_WORDS = 1 << 15
 #: Texts whose shingles are counted, on average, and the shingles known as common, at most.
 SAMPLE_TEXTS = 1 << 14
 COMMON = 1 << 17
 
 _PRIME, _MIX = 0x100000001B3, 0x9E3779B97F4A7C15
+_TOP = np.uint64(1 << 63)
 
 
 def bands(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -143,22 +145,27 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
         return _mixed(_doubled(hashes, n, lambda a, b, m: a * np.uint64(pow(_PRIME, m, 1 << 64)) + b))
 
 
-def candidates(hashes: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(p, c, before, after, least) of at least WORDS words: where the least grams of windows are, their hashes, those of the gram with
-    SIDE words before and after it (0 where there are not so many), and each window's least hash."""
+def candidates(hashes: np.ndarray, ends: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(p, c, before, after, least) of texts of WORDS words and more, joined, that end at `ends` (one text by default): where the least grams of
+    windows are, their hashes, those of the gram with SIDE words before and after it (0 where there are not so many in the text), and each
+    window's least hash (0 where it reaches into the next text)."""
+    ends = np.array([len(hashes)]) if ends is None else ends
+    sizes = np.diff(ends, prepend=0)
+    end = np.repeat(ends, sizes)
     g = grams(hashes, GRAM)
     least = _doubled(g, WORDS - GRAM + 1, lambda a, b, n: np.minimum(a, b))
+    least[np.arange(WORDS, WORDS + len(least)) > end[: len(least)]] = 0
     none = np.zeros(WORDS - GRAM, np.uint64)
     p = np.flatnonzero(_doubled(np.concatenate((none, least, none)), WORDS - GRAM + 1, lambda a, b, n: np.maximum(a, b)) == g)  # the least of a window that holds it
     sides = grams(hashes, GRAM + SIDE)
-    before = np.where(p >= SIDE, sides[np.maximum(p - SIDE, 0)], 0).astype(np.uint64)
-    after = np.where(p < len(sides), sides[np.minimum(p, len(sides) - 1)] ^ np.uint64(_MIX), 0).astype(np.uint64)
+    before = np.where(p - SIDE >= end[p] - np.repeat(sizes, sizes)[p], sides[np.maximum(p - SIDE, 0)], 0).astype(np.uint64)
+    after = np.where(p + GRAM + SIDE <= end[p], sides[np.minimum(p, len(sides) - 1)] ^ np.uint64(_MIX), 0).astype(np.uint64)
     return p, g[p].view(np.int64), before.view(np.int64), after.view(np.int64), least.view(np.int64)
 
 
-def window_starts(hashes: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, least): the windows that hold a gram and a side of it that is in `some`, and have that gram as their least."""
-    p, c, before, after, least = candidates(hashes)
+def window_starts(hashes: np.ndarray, some: np.ndarray, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, least): the windows that hold a gram and a side of it that is in `some`, and have that gram as their least. Texts as for candidates()."""
+    p, c, before, after, least = candidates(hashes, ends)
     reach = WORDS - GRAM
     wanted = np.zeros(len(least), bool)
     for at, key, low, high in ((before, np.isin(before, some), reach, SIDE), (after, np.isin(after, some), reach - SIDE, 0)):
@@ -170,20 +177,18 @@ def window_starts(hashes: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.
     return starts, least[starts]
 
 
-def signatures(hashes: np.ndarray, spans: list[tuple[int, int]], n_bands: int, rows: int = ROWS) -> np.ndarray:
-    """For each span of SHINGLE_WORDS words and more: n_bands longs, equal where all hashes of a band are."""
-    s = shingles(hashes)
-    cuts = np.array([x for a, b in spans for x in (a, b - SHINGLE_WORDS + 1)])
-    s = np.append(s, np.iinfo(np.uint64).max)  # so that a cut may stand at the end
+def signatures(s: np.ndarray, spans: np.ndarray, n_bands: int, rows: int = ROWS) -> np.ndarray:
+    """For each span (start, stop in words) of shingles s: n_bands longs, equal where all hashes of a band are."""
+    cuts = (spans - [0, SHINGLE_WORDS - 1]).ravel()
+    s = np.append(s >> np.uint64(32), 0).astype(np.uint32)  # one more, so that a cut may stand at the end
     n = n_bands * rows
-    odd = _mixed(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)
+    odd = (_mixed(np.arange(1, n + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
     least = np.empty((n, len(spans)), np.uint64)
-    step = max(1, BLOCK // len(s))
     with np.errstate(over="ignore"):
-        for at in range(0, n, step):
-            h = s[None, :] * odd[at : at + step, None]
-            h ^= h >> np.uint64(31)
-            least[at : at + step] = np.minimum.reduceat(h, cuts, axis=1)[:, ::2]
+        for i in range(n):
+            h = s * odd[i]
+            h ^= h >> np.uint32(15)
+            least[i] = np.minimum.reduceat(h, cuts)[::2]
         out = np.zeros((n_bands, len(spans)), np.uint64)
         for j in range(rows):
             out = out * np.uint64(_PRIME) + _mixed(least[j::rows])
@@ -191,20 +196,46 @@ def signatures(hashes: np.ndarray, spans: list[tuple[int, int]], n_bands: int, r
     return np.ascontiguousarray(out.T).view(np.int64)
 
 
-def prefix(tokens: np.ndarray, common: tuple[np.ndarray, np.ndarray], threshold: float) -> np.ndarray:
-    """The number of different shingles, how many are not in `common`, and those first in order: ones not in `common` by hash, then the others by rank.
+def prefixes(s: np.ndarray, spans: np.ndarray, common: tuple[np.ndarray, np.ndarray], threshold: float) -> tuple[np.ndarray, ...]:
+    """(n, rare, many, tokens): for each span of shingles s the number of different ones, how many are not in `common`, how many are first in
+    order; and those, span by span: ones not in `common` by hash, then the others by rank. A token tells its place in that order.
 
     One more than the threshold asks for: two words of one hash may make a set smaller.
     """
-    tokens = np.unique(tokens).view(np.int64)
-    n = len(tokens)
-    many = min(n, n - int(np.ceil(threshold * n - 1e-9)) + 2)
-    rare = n
+    keys = s & ~_TOP
     if len(common[0]):
-        at = np.minimum(np.searchsorted(common[0], tokens), len(common[0]) - 1)
-        rank = np.where(common[0][at] == tokens, common[1][at], 0)
-        tokens, rare = tokens[np.argsort(rank, kind="stable")], n - np.count_nonzero(rank)
-    return np.concatenate(([n, rare], tokens[:many])).astype(np.int64)
+        at = np.minimum(np.searchsorted(common[0], s.view(np.int64)), len(common[0]) - 1)
+        keys = np.where(common[0][at] == s.view(np.int64), common[1][at].astype(np.uint64) | _TOP, keys)
+    starts, stops = spans[:, 0], spans[:, 1] - SHINGLE_WORDS + 1
+    for a, b in zip(starts.tolist(), stops.tolist(), strict=True):
+        keys[a:b].sort()
+    new = np.concatenate(([True], keys[1:] != keys[:-1]))
+    new[starts] = True
+    count = lambda x: np.concatenate(([0], np.cumsum(x)))
+    every, low = count(new), count(new & (keys < _TOP))
+    n, rare = every[stops] - every[starts], low[stops] - low[starts]
+    many = np.minimum(n, n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 2)
+    at = np.arange(many.sum()) + np.repeat(every[starts] - np.cumsum(many) + many, many)
+    return n, rare, many, keys[np.flatnonzero(new)[at]].view(np.int64)
+
+
+def prefix(tokens: np.ndarray, common: tuple[np.ndarray, np.ndarray], threshold: float) -> np.ndarray:
+    """n, rare and the tokens of prefixes() for one set of shingles."""
+    n, rare, _, first = prefixes(tokens, np.array([[0, len(tokens) + SHINGLE_WORDS - 1]]), common, threshold)
+    return np.concatenate((n, rare, first))
+
+
+def marks(s: np.ndarray, spans: np.ndarray, n_bands: int, common: tuple[np.ndarray, np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes, longs): for each span its signature, n, rare and prefix, one after the other."""
+    n, rare, many, tokens = prefixes(s, spans, common, threshold)
+    sizes = many + n_bands + 2
+    out = np.empty(sizes.sum(), np.int64)
+    at = np.cumsum(sizes) - sizes
+    fixed = np.zeros(len(out), bool)
+    fixed[(at[:, None] + np.arange(n_bands + 2)).ravel()] = True
+    out[fixed] = np.column_stack((signatures(s, spans, n_bands), n, rare)).ravel()
+    out[~fixed] = tokens
+    return sizes, out
 
 
 def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -229,10 +260,47 @@ def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def _offsets(words: list[bytes]) -> np.ndarray:
     """Where each word begins in the words joined by blanks."""
     at = np.zeros(len(words) + 1, np.int64)
-    np.cumsum([len(w) + 1 for w in words], out=at[1:])
+    np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=at[1:])
     return at
 
 
+class _Joined:
+    """Texts worked on together: their numbers in the batch, words, where each text ends, and each text's line ends."""
+
+    def __init__(self) -> None:
+        self.texts: list[int] = []
+        self.words: list[bytes] = []
+        self.ends: list[int] = []
+        self.lines: list[list[int]] = []
+
+    def paragraphs(self) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the text within this, (start, stop) in all words) of each paragraph."""
+        of, spans = [], []
+        for k, (first, ends) in enumerate(zip([0, *self.ends], self.lines, strict=False)):
+            own = paragraphs(ends)
+            of += [k] * len(own)
+            spans += [(first + a, first + b) for a, b in own]
+        return np.array(of, np.int64), np.array(spans, np.int64).reshape(-1, 2)
+
+
+def joined(texts: list[str]) -> Iterator[_Joined]:
+    """The texts of WORDS words and more, in groups of JOINED_WORDS words or one text."""
+    group = _Joined()
+    for k, text in enumerate(texts):
+        words, ends = lines(text)
+        if len(words) < WORDS:
+            continue
+        group.texts.append(k)
+        group.words += words
+        group.ends.append(len(group.words))
+        group.lines.append(ends)
+        if len(group.words) >= JOINED_WORDS:
+            yield group
+            group = _Joined()
+    if group.texts:
+        yield group
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, t, text): t is 0, or a hash of the text for ids that several texts share."""
     some = docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
@@ -255,40 +323,36 @@ def units(texts: DataFrame, n_bands: int, threshold: float = THRESHOLD) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh128_digest
         for batch in batches:
-            ids, ts, kinds, starts, stops, digests, marks = ([] for _ in range(7))
-            held: list[tuple[int, int, np.ndarray]] = []
-            for doc, t, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                words, ends = lines(text)
-                if len(words) < WORDS:
-                    continue
-                hashes = word_hashes(words)
-                found = np.stack(candidates(hashes)[1:4])
+            keys = [batch.column(i).to_numpy() for i in range(2)]
+            spans, grams_ = [], []
+            for group in joined(batch.column(2).to_pylist()):
+                texts_, ends, hashes = np.array(group.texts), np.array(group.ends), word_hashes(group.words)
+                p, *found = candidates(hashes, ends)[:4]
+                own = np.searchsorted(ends, p, "right")
                 with np.errstate(over="ignore"):
-                    key = (found.view(np.uint64) * np.array([[_MIX], [_PRIME], [1]], np.uint64)).sum(axis=0)
-                held.append((doc, t, found[:, np.unique(key, return_index=True)[1]]))
-                long = paragraphs(ends)
-                joined, at = b" ".join(words), _offsets(words).tolist()
-                ids += [doc] * (len(long) + 1)
-                ts += [t] * (len(long) + 1)
-                kinds += [2] + [0] * len(long)
-                starts += [0, *(a for a, _ in long)]
-                stops += [len(words), *(b for _, b in long)]
-                digests += [digest(joined), *(digest(joined[at[a] : at[b] - 1]) for a, b in long)]
-                marks.append(None)
-                if long:
-                    s = shingles(hashes)
-                    marks += [np.concatenate((m, prefix(s[a : b - SHINGLE_WORDS + 1], common.value, threshold))) for m, (a, b) in zip(signatures(hashes, long, n_bands), long, strict=True)]
-            n = len(ids)
-            if n:
-                none = pa.nulls(n, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ts, pa.int64()), pa.array(kinds, pa.int32()), pa.array(starts, pa.int32()), pa.array(stops, pa.int32()), pa.array(digests, pa.binary()), pa.array(marks, pa.list_(pa.int64())), none, none, none], schema=schema)
-            if held:
-                sizes = [x.shape[1] for *_, x in held]
-                c, before, after = np.concatenate([x for *_, x in held], axis=1)
-                n = len(c)
-                none = lambda kind: pa.nulls(n, kind)  # noqa: E731, B023
-                own = lambda k: pa.array(np.repeat(np.array([x[k] for x in held], np.int64), sizes))  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([own(0), own(1), pa.array(np.ones(n, np.int32)), none(pa.int32()), none(pa.int32()), none(pa.binary()), none(pa.list_(pa.int64())), pa.array(c), pa.array(before), pa.array(after)], schema=schema)
+                    key = (np.stack([own, *found]).view(np.uint64) * np.array([[_mixed(np.array([1], np.uint64))[0]], [_MIX], [_PRIME], [1]], np.uint64)).sum(axis=0)
+                once = np.sort(np.unique(key, return_index=True)[1])
+                grams_.append([texts_[own[once]], *(x[once] for x in found)])
+                line, at = b" ".join(group.words), _offsets(group.words)
+                digests = lambda s: [digest(line[a : b - 1]) for a, b in zip(at[s[:, 0]].tolist(), at[s[:, 1]].tolist(), strict=True)]  # noqa: E731, B023
+                whole = np.column_stack((np.concatenate(([0], ends[:-1])), ends))
+                spans.append((2, texts_, whole - whole[:, :1], digests(whole), np.zeros(len(texts_), np.int64), np.empty(0, np.int64)))
+                of, long = group.paragraphs()
+                if len(long):
+                    spans.append((0, texts_[of], long - whole[of, :1], digests(long), *marks(shingles(hashes), long, n_bands, common.value, threshold)))
+            if not spans:
+                continue
+            kinds = np.repeat(np.array([x[0] for x in spans], np.int32), [len(x[1]) for x in spans])
+            _, at, ranges, digests_, sizes, longs = ([y for x in spans for y in x[i]] if i == 3 else np.concatenate([x[i] for x in spans]) if i else None for i in range(6))
+            n = len(kinds)
+            offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32(), mask=np.append(kinds == 2, False))
+            lists = pa.ListArray.from_arrays(offsets, pa.array(longs, pa.int64()))
+            none = pa.nulls(n, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(pa.array(k[at]) for k in keys), pa.array(kinds), *(pa.array(ranges[:, i].astype(np.int32)) for i in range(2)), pa.array(digests_, pa.binary()), lists, none, none, none], schema=schema)
+            at, c, before, after = (np.concatenate(x) for x in zip(*grams_, strict=True))
+            n = len(c)
+            none = lambda kind: pa.nulls(n, kind)  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([*(pa.array(k[at]) for k in keys), pa.array(np.ones(n, np.int32)), none(pa.int32()), none(pa.int32()), none(pa.binary()), none(pa.list_(pa.int64())), pa.array(c), pa.array(before), pa.array(after)], schema=schema)
 
     return texts.mapInArrow(run, "doc_id long, t long, kind int, start int, stop int, digest binary, marks array<long>, c long, before long, after long")
 
@@ -423,15 +487,18 @@ def _windows(texts: DataFrame, found: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
         for batch in batches:
-            for doc, t, text, some in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                words = lines(text)[0]
-                starts, least = window_starts(word_hashes(words), np.array(some, np.int64))
+            keys, wanted = [batch.column(i).to_numpy() for i in range(2)], batch.column(3)
+            for group in joined(batch.column(2).to_pylist()):
+                some = np.unique(pa.compute.list_flatten(wanted.take(pa.array(group.texts))).to_numpy())  # a text that has another's side has it in its own list, too
+                ends = np.array(group.ends)
+                starts, least = window_starts(word_hashes(group.words), some, ends)
                 if not len(starts):
                     continue
-                joined, at = b" ".join(words), _offsets(words)
-                h = np.fromiter((digest(joined[a : b - 1]) for a, b in zip(at[starts].tolist(), at[starts + WORDS].tolist(), strict=True)), np.uint64, len(starts))
-                same = lambda x: pa.array(np.full(len(starts), x), pa.int64())  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([same(doc), same(t), pa.array(starts, pa.int32()), pa.array(least), pa.array(h.view(np.int64))], ["doc_id", "t", "start", "c", "h"])
+                line, at = b" ".join(group.words), _offsets(group.words)
+                h = np.fromiter((digest(line[a : b - 1]) for a, b in zip(at[starts].tolist(), at[starts + WORDS].tolist(), strict=True)), np.uint64, len(starts))
+                of = np.searchsorted(ends, starts, "right")
+                first = np.concatenate(([0], ends[:-1]))[of]
+                yield pa.RecordBatch.from_arrays([*(pa.array(k[np.array(group.texts)[of]]) for k in keys), pa.array((starts - first).astype(np.int32)), pa.array(least), pa.array(h.view(np.int64))], ["doc_id", "t", "start", "c", "h"])
 
     return _spans_of(texts, by_doc, "some", 8).mapInArrow(run, "doc_id long, t long, start int, c long, h long")
 

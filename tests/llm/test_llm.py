@@ -646,6 +646,41 @@ def test_prefixes_of_near_sets_meet_in_any_order():
             assert p[0] == len(a) and set(p[2:].tolist()) & set(q[2:].tolist())
 
 
+def test_texts_worked_on_together_are_as_each_alone():
+    """Op8 calls numpy for many texts at once: no window, gram, side or shingle reaches into the next text."""
+    rng = random.Random(32)
+    texts = ["\n".join(" ".join(rng.choice(WORDS) for _ in range(rng.choice([5, 51, 60, 130]))) for _ in range(rng.randint(1, 6))) for _ in range(300)]
+    texts[100] = " ".join(WORDS[i % 7] for i in range(passages.JOINED_WORDS + 9))  # a long text that repeats itself
+    kept = [k for k, x in enumerate(texts) if len(x.split()) >= passages.WORDS]
+    groups = list(passages.joined(texts))
+    assert [k for g in groups for k in g.texts] == kept and len(groups) <= 4 and all(len(g.words) >= passages.JOINED_WORDS for g in groups[:-1])
+    seen = np.unique(np.concatenate([passages.shingles(passages.word_hashes(g.words)) for g in groups])).view(np.int64)
+    common = (np.sort(seen)[::2], np.random.default_rng(32).permutation(len(seen[::2])) + 1)
+    for g in groups:
+        hashes, ends = passages.word_hashes(g.words), np.array(g.ends)
+        p, *found, least = passages.candidates(hashes, ends)
+        some = np.unique(np.concatenate(found[1:]))[::3]
+        starts, least_of = passages.window_starts(hashes, some, ends)
+        of, spans = g.paragraphs()
+        sizes, longs = passages.marks(passages.shingles(hashes), spans, 9, common, 0.8)
+        longs = np.split(longs, np.cumsum(sizes)[:-1])
+        for n, (k, first, stop) in enumerate(zip(g.texts, [0, *g.ends], g.ends, strict=False)):
+            own = passages.word_hashes(texts[k].encode().split())
+            q, *alone, each = passages.candidates(own)
+            mine = (p >= first) & (p < stop)
+            assert np.array_equal(p[mine] - first, q) and all(np.array_equal(x[mine], y) for x, y in zip(found, alone, strict=True))
+            assert np.array_equal(least[first : stop - passages.WORDS + 1], each) and not least[stop - passages.WORDS + 1 : stop].any()
+            mine = (starts >= first) & (starts < stop)
+            assert all(np.array_equal(x, y) for x, y in zip((starts[mine] - first, least_of[mine]), passages.window_starts(own, some), strict=True))
+            line = passages.paragraphs(passages.lines(texts[k])[1])
+            assert (spans[of == n] - first).tolist() == [list(x) for x in line]
+            s = passages.shingles(own)
+            for (a, b), got in zip(line, [x for x, at in zip(longs, of.tolist(), strict=True) if at == n], strict=True):
+                tokens = s[a : b - 4]
+                assert np.array_equal(got[9:], passages.prefix(tokens, common, 0.8)) and got[9] == len(set(tokens.tolist()))
+                assert np.array_equal(got[:9], passages.signatures(tokens, np.array([[0, b - a]]), 9)[0])
+
+
 def test_rows_that_share_an_id_are_documents_of_their_own(spark):
     rng = random.Random(23)
     fresh = lambda n: " ".join(f"{rng.getrandbits(60):x}" for _ in range(n))
